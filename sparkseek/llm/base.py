@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,18 @@ def pruned(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[column(c).alias(name) for name, c in wanted.items()])
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow by position: neither the names of df nor those of schema need be plain or distinct."""
+    plain = [f"c{i}" for i in range(len(schema))]
+    kinds = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=plain)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, kinds).toDF(*schema.names)
+
+
 # --- words of a batch of texts, without a Python object per word -----------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, private, slices, text_buffer
+from .base import column, mapped, private, slices, text_buffer
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before the merges; no merge crosses a split.
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
     chosen = docs.select(*[column(c) for c in kept], column(text_col).alias(source))
     schema = docs.select(*[column(c) for c in kept], F.lit(None).cast("array<int>").alias("tokens"), F.lit(None).cast("int").alias("n_tokens"), F.lit(None).cast("boolean").alias("round_trip")).schema
-    return chosen.mapInArrow(run, schema)
+    return mapped(chosen, run, schema)
 
 
 def decode(rows: DataFrame, tokens_col: str = "tokens", path: str = VOCABULARY) -> DataFrame:
@@ -350,4 +350,4 @@ def decode(rows: DataFrame, tokens_col: str = "tokens", path: str = VOCABULARY)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*kept, "decoded"])
 
     chosen = rows.select(*[column(c) for c in kept], column(tokens_col).alias(source))
-    return chosen.mapInArrow(run, rows.select(*[column(c) for c in kept], F.lit(None).cast("string").alias("decoded")).schema)
+    return mapped(chosen, run, rows.select(*[column(c) for c in kept], F.lit(None).cast("string").alias("decoded")).schema)

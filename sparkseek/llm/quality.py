@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, private, text_buffer
+from .base import column, mapped, private, text_buffer
 
 #: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most.
 SAMPLE_ROWS = 2000
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
             yield out if min_score is None else out.filter(pa.array(got >= min_score))
 
     chosen = docs.select(*[column(c) for c in kept], column(text_col).alias(source))
-    return chosen.mapInArrow(run, docs.select(*[column(c) for c in kept], F.lit(None).cast("double").alias(name)).schema)
+    return mapped(chosen, run, docs.select(*[column(c) for c in kept], F.lit(None).cast("double").alias(name)).schema)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, components, materialise, mix, shingles, slices, text_buffer, words
+from .base import column, components, materialise, mix, private, shingles, slices, text_buffer, words
 
 BITS = 256
 #: Fingerprints that differ in at most this many bits belong to near copies.
@@ -292,5 +292,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat an id are one document: they all stay or all go. Extra columns are kept as they are. An empty table gives
     an empty result.
     """
-    gone = near_groups(docs, id_col, text_col, radius).where("node <> component").select(F.col("node").alias(id_col))
-    return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
+    (lost,) = private(docs, "lost")
+    gone = near_groups(docs, id_col, text_col, radius).where("node <> component").select(F.col("node").alias(lost))
+    return docs.join(gone, column(id_col) == F.col(lost), "left_anti")
