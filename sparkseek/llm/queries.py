@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("quality_score") >= quality.REJECT_BELOW)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -46,7 +50,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op4_byte_bpe, op6_exact_dedup, op7_soft_mixing, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_lm_scoring, op4_byte_bpe, op6_exact_dedup, op7_soft_mixing, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
