@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm_scoring, mixing, pii, quality, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, lm_scoring, mixing, pii, quality, simhash, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source"])
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_lm_scoring, op4_byte_bpe, op5_pii, op6_exact_dedup, op7_soft_mixing, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_lm_scoring, op4_byte_bpe, op5_pii, op6_exact_dedup, op7_soft_mixing, op8_exact_top_k, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op8_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL}
