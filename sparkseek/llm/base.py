@@ -67,6 +67,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 18
 _powers = {"n": 0, "up": None, "down": None}
 
 _WORD = np.zeros(256, bool)
@@ -80,7 +82,7 @@ _LOWER[65:91] += 32
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > _powers["n"]:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         up, down = np.full(n, _P, np.uint64), np.full(n, _P_INV, np.uint64)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
@@ -152,11 +154,18 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after[-1], after[:-1] = False, is_word[1:]
     starts = np.flatnonzero(is_word & (~before | edge[:n]))
     ends = np.flatnonzero(is_word & (~after | edge[1:])) + 1
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((lowered(data).astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        h = mix((total[ends] - total[starts]) * down[starts])
+    h, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # in blocks that fit a cache; a hash doesn't depend on where its block begins
+        base = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        low = lowered(data[base : ends[stop - 1]])
+        up, down = _power_tables(len(low) + 1)
+        total = np.zeros(len(low) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
+            begin = starts[at:stop] - base
+            h[at:stop] = mix((total[ends[at:stop] - base] - total[begin]) * down[begin])
+        at = stop
     return h, starts, ends, np.searchsorted(starts, off)
 
 

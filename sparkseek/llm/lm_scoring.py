@@ -21,6 +21,8 @@ BASE = 1.5
 MIN_COUNT = 2
 BITS_PER_EVENT = 12
 PROBES = 5
+#: Words whose n-grams a task counts before it sends them on.
+COUNT_WORDS = 1 << 21
 #: A larger filter isn't broadcast: the probes go to its parts instead.
 BROADCAST_BYTES = 128 << 20
 #: Weights of the orders in the mixture, from one word to ORDER words.
@@ -97,31 +99,59 @@ class Filter:
         return out
 
 
+def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as differences, the bytes of like weight together, so that those that are 0 compress away; counts.
+
+    A count is a byte, and 255 says that the count is with the others of its kind at the end.
+    """
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    large = np.flatnonzero(counts >= 255)
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 8
+    gaps = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    out = np.frombuffer(counts, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(counts, np.int64, offset=n)
+    with np.errstate(over="ignore"):
+        return np.cumsum(gaps, dtype=np.uint64), out
+
+
 def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
-    """(bucket, keys, counts): the distinct n-grams of each batch, by bucket, with how often the batch has them."""
+    """(bucket, keys, counts): the distinct n-grams of each few megabytes, by bucket, with how often they stand there."""
+
+    def sent(keys: list[np.ndarray]) -> pa.RecordBatch:
+        distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
+        cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        packed = [pack(distinct[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(order)]
+        size = 0
         for batch in batches:
-            for lo, hi in slices(batch.column("text"), 16 << 20):
+            for lo, hi in slices(batch.column("text")):
                 data, off = text_buffer(batch.column("text").slice(lo, hi - lo))
                 h, _, _, first = words(data, off)
                 for n in range(1, order + 1):
-                    keys, counts = np.unique(ngrams(h, first, n)[1], return_counts=True)
-                    cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                    some = np.flatnonzero(np.diff(cuts))
-                    kept = counts.astype(np.uint32)
-                    for part in np.array_split(some, -(-len(keys) // (1 << 20)) or 1):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(part.astype(np.int32)), pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in part], pa.binary()), pa.array([kept[cuts[b] : cuts[b + 1]].tobytes() for b in part], pa.binary())],
-                            names=["bucket", "keys", "counts"],
-                        )
+                    held[n - 1].append(ngrams(h, first, n)[1])
+                size += len(h)
+                if size >= COUNT_WORDS:
+                    yield from map(sent, held)
+                    held, size = [[] for _ in range(order)], 0
+        if size:
+            yield from map(sent, held)
 
     return docs.mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
-    order = np.argsort(k, kind="stable")
+    parts = [unpack(k, c) for k, c in zip(keys, counts)]
+    k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    order = np.argsort(k)
     k, c = k[order], c[order]
     begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     return k[begin], np.add.reduceat(c, begin) if len(k) else c
