@@ -206,6 +206,22 @@ def links_of_set(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each position but the least of each group that the pairs join, however many pairs there are."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return label[moved], moved
+
+
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, print, keys) of each document that has an id and a word."""
 
@@ -243,9 +259,10 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
             i, j = links_of_set(prints[begin[s] : begin[s] + sizes[s]], radius)
             left.append(begin[s] + i)
             right.append(begin[s] + j)
+        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        a, b = forest(whole(left), whole(right), len(key))
         ids = table.column("id")
-        take = lambda x: ids.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([take(left), take(right)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:

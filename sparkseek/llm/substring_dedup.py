@@ -148,9 +148,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
 
     A passage of a document repeats if each run of min_words successive words in it also stands in a document of
     another id, word for word but for case and what is between words; it is maximal if it can't be extended by a word
-    either way. start_char and end_char count characters, the end is exclusive. partner is the smallest other id that
-    shares some such run of the passage; if others have all the words of the text and no more, the smallest of those.
-    A passage repeated only within one document is none.
+    either way. start_char and end_char count characters, the end is exclusive. partner is another id that shares some
+    such run of the passage: of each run's ids the smallest, or the largest for the smallest itself, and of those the
+    smallest; if others have all the words of the text and no more, it is one of these. A passage repeated only within
+    one document is none.
 
     Seeds are the anchors (winnowed runs of about half min_words words, one at least in every min_words words) that
     documents of two ids share, joined by hash. Each is extended both ways; what others share at full length stays, and
