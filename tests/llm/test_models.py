@@ -1,0 +1,185 @@
+import base64
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from sparkseek.llm import bpe, lm_scoring, mixing, pii, quality, topk
+
+from .common import prose, words
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+
+def test_quality_of_texts_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    scored = quality.score(docs, quality.fit(docs, labels.where(seen)), keep=["doc_id"]).join(labels.where(~seen), "doc_id").collect()
+    kept = lambda good: [r["quality_score"] >= quality.REJECT_BELOW for r in scored if r["quality"] == good]
+    assert np.mean(kept(1)) > 0.96 and np.mean(kept(0)) < 0.15
+    p, y = np.array([r["quality_score"] for r in scored]), np.array([r["quality"] for r in scored])
+    assert abs(p.mean() - y.mean()) < 0.06, "probabilities are calibrated"
+
+
+def test_whole_long_texts_are_scored(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    good = next(r["text"] for r in docs.join(labels.where("quality = 1"), "doc_id").orderBy(F.desc("n_chars"), "doc_id").collect())
+    junk = " ".join(f"{w}%%%" for w in good.split())
+    assert model.probability(model.difference(good.encode())) > 0.9
+    assert model.difference((good + " " + junk * 3).encode()) < model.difference(good.encode()), "what comes late counts"
+
+
+def encoding(path=bpe.VOCABULARY):
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_tokens_are_those_of_the_reference_encoder(spark, sf, name):
+    path = f"/opt/tokenizers/{name}"
+    enc = encoding(path)
+    rows = bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), path=path).collect()
+    assert rows and all(r["tokens"] == enc.encode_ordinary(r["text"]) and r["round_trip"] for r in rows)
+
+
+def test_odd_texts_are_encoded_alike():
+    enc, vocabulary = encoding(), bpe.Vocabulary()
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "  \n\n x", "日本語 😀😀", "a" * 9000, "ab" * 3000 + " x", "x" * 2047 + "é", "".join(chr(c) for c in rng.integers(1, 0x2FFF, 5000)), "it's we'll THEY'RE x"]
+    texts += ["".join(rng.choice(list("aab tT\n1'é"), rng.integers(1, 200))) for _ in range(200)]
+    encoder = bpe.Encoder(vocabulary)
+    for _ in range(2):  # the second time from memory
+        tokens, off = encoder(texts)
+        for i, t in enumerate(texts):
+            assert tokens[off[i] : off[i + 1]].tolist() == enc.encode_ordinary(t)
+    assert bpe.merge_long(vocabulary, b"hello world" * 50).tolist() == bpe.merge_batch(vocabulary, [b"hello world" * 50], 1024)[0].tolist()
+
+
+def test_scores_are_those_of_exact_counts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = {r["doc_id"]: [w for w, _, _ in words(r["text"])] for r in docs.collect()}
+    count = [Counter(tuple(w[a : a + n]) for w in own.values() for a in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    level = lambda c: float(lm_scoring.count_at(lm_scoring.level_of(np.array([c])))[0]) if c else 0.0
+
+    def held(g):
+        c = count[len(g) - 1][g]
+        return level(c) if len(g) == 1 else min(level(c) if c >= 2 else 0.0, held(g[1:]), held(g[:-1]))
+
+    tokens, types = sum(count[0].values()), len(count[0])
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
+    apart = []
+    for i, w in own.items():
+        total = 0.0
+        for a in range(len(w)):
+            p = 0.1 * (held((w[a],)) + 1) / (tokens + types + 1)
+            for n, weight in ((1, 0.3), (2, 0.6)):
+                if a >= n:
+                    p += weight * held(tuple(w[a - n : a + 1])) / max(held(tuple(w[a - n : a])), 1)
+            total += math.log(p)
+        assert got[i]["n_words"] == len(w)
+        if w:
+            apart.append((got[i]["log_prob"] - total) / len(w))
+    assert abs(np.mean(apart)) < 0.01 and np.quantile(np.abs(apart), 0.9) < 0.05
+    other = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(docs, broadcast_bytes=0).collect()}
+    assert other == {i: r["log_prob"] for i, r in got.items()}
+
+
+def test_filter_misses_nothing_and_packing_loses_nothing():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
+    counts = rng.geometric(0.2, len(keys)) ** 3
+    levels = lm_scoring.level_of(counts)
+    k, c = lm_scoring.unpack(*lm_scoring.pack(keys, counts))
+    assert (k == keys).all() and (c == counts).all()
+    bucket = lm_scoring.bucket_of(keys, 7)
+    f = lm_scoring.Filter([lm_scoring.build_filter(keys[bucket == b], levels[bucket == b]) for b in range(7)])
+    got = f.levels(keys)
+    assert (got >= levels).all() and (got > levels).mean() < 0.05
+    assert (f.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
+
+
+def test_identifiers(spark):
+    rows = [(i, f"{prose(i, 8)} and{i}.{i}@mail.example.com then 10.20.{i}.7 or +1 ({100 + i}) 555-{1000 + i}, \"key = {'%040x' % ((i + 1) * 10**47 + 0xAB)}\" é.") for i in range(20)]
+    luhn = [n for n in range(4000_0000_0000_0000, 4000_0000_0000_0600) if pii.luhn(str(n))][:20]
+    rows += [(100 + i, f"{prose(200 + i, 5)} card {n} here") for i, n in enumerate(luhn)]
+    other = [n for n in range(5100_0000_0000_0000, 5100_0000_0000_0040) if not pii.luhn(str(n))][:20]
+    rows += [(200 + i, f"{prose(300 + i, 5)} card {n} here") for i, n in enumerate(other)]
+    rows += [(300, "version 2.0 of 1999, 3 times, Apache 2.0."), (301, None), (302, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pii.identifiers(docs).collect()
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in got)
+    by = Counter((r["kind"], r["seed"]) for r in got)
+    assert by[("email", True)] == by[("ip", True)] == by[("phone", True)] == by[("secret", True)] == by[("card", True)] == 20
+    assert by[("card", False)] == 20, "cards that fail their check digit are found by their patterns"
+    assert not [r for r in got if r["doc_id"] >= 300]
+    given = pii.identifiers(docs.where("doc_id = 300"), seeds={"1999": "card"}).collect()
+    assert [(r["value"], r["kind"], r["score"]) for r in given] == [("1999", "card", 1.0)]
+
+
+def test_candidates_against_plain_splitting(spark, docs):
+    import re
+
+    import pyarrow as pa
+
+    texts = [r["text"] for r in docs.limit(300).collect()]
+    got = {(row, start) for row, _, _, _, _, start, _ in pii.candidates(pa.array(texts))}
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[^\s]*[@\d][^\s]*", t):
+            assert any((i, at) in got for at in range(m.start() - 15, m.end())), (i, m[0])
+
+
+def test_rates_meet_targets(docs, labels):
+    out = mixing.mix_rates(docs, labels, keep=["doc_id"]).collect()
+    p = np.array([r["posteriors"] for r in out])
+    tokens, rate = np.array([r["n_tokens"] for r in out]), np.array([r["rate"] for r in out])
+    got = (p * (tokens * rate)[:, None]).sum(0) / (tokens * rate).sum()
+    assert np.abs(got - np.array([0.95, 0.05, 0.0])).max() < 0.01
+    domain = {r["doc_id"]: r["d"] for r in labels.select("doc_id", F.expr(mixing.DOMAIN).alias("d")).collect()}
+    right = [[*mixing.TARGETS][int(np.argmax(r["posteriors"]))] == domain[r["doc_id"]] for r in out if r["doc_id"] in domain]
+    assert np.mean(right) > 0.95
+    clean = [r["rate"] for r in out if domain.get(r["doc_id"]) == "clean"]
+    assert np.mean([x >= 0.95 for x in clean]) > 0.95
+
+
+def test_rates_are_the_least_squares_solution(spark):
+    rng = np.random.default_rng(7)
+    n = 400
+    p, tokens = rng.dirichlet([0.3, 0.3, 0.3], n), rng.integers(1, 500, n)
+    table = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "n bigint, p array<double>")
+    targets = {"a": 0.2, "b": 0.7, "c": 0.1}
+    rates = mixing.solve(table, targets, [*targets], budget=1.0)
+    w = tokens / tokens.sum()
+    available, want = w @ p, np.array([*targets.values()])
+    r = np.ones(n)
+    for _ in range(20_000):  # plain steps, until they stand still
+        r = np.maximum(0, r - 0.5 * ((p / available) @ ((w * r) @ p - want) + mixing.RIDGE * (r - 1)))
+    assert np.abs((w * rates(p)) @ p - (w * r) @ p).max() < 2e-3 and np.abs((w * rates(p)) @ p - want).max() < 0.01
+
+
+@pytest.mark.parametrize("lists", [1, 2, 5])
+def test_top_k_against_all_products(spark, monkeypatch, lists):
+    monkeypatch.setattr(topk, "TILE", 64)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 10)), 1)
+    x[::7] = x[0]  # ties
+    v = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(v.repartition(3), 6, lists).collect()}
+    s = np.round(x @ x.T, 6)
+    for q in range(300):
+        best = sorted((j for j in range(300) if j != q), key=lambda j: (-s[q, j], j))[:6]
+        assert [got[(q, i + 1)] for i in range(6)] == [(j, s[q, j]) for j in best]
+    assert len(got) == 1800
