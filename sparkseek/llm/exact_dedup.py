@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import column, private, shared_dir
 
 SCHEMA = "digest binary, id bigint, n bigint"
-#: Digest ranges, by leading byte; a run is sorted within each, so that merging never leaves a range.
-RANGES = 256
+#: Rows that a memtable takes before it is flushed.
+MEMTABLE = 1 << 19
 
 
 def digest(text):
@@ -20,14 +22,21 @@ def digest(text):
     return F.unhex(F.md5(text))
 
 
+def sorted_run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A memtable's entries: the smallest id and the rows of each digest, in the order of digests."""
+    table = pa.Table.from_batches(held).group_by("digest").aggregate([("id", "min"), ("digest", "count")])
+    out = table.select(["digest", "id_min", "digest_count"]).rename_columns(["digest", "id", "n"]).sort_by("digest")
+    yield from out.cast(pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])).to_batches()
+
+
 class LsmIndex:
     """Digest -> smallest id and number of rows, as sorted runs in a folder that all executors share.
 
-    flush() writes level-0 runs. Each task is a memtable: it holds its share of the batch, which aggregation has reduced
-    to one entry a digest, and flushes it in digest order. Every run is Parquet with a Bloom filter on the digest and
-    min/max statistics for each page, so lookups skip runs that can't hold a digest. compact() merges all
-    runs of all levels into one run of the next level and keeps the smallest identifier of each digest. A run becomes
-    visible only with its _SUCCESS marker; a failed flush leaves nothing that is read.
+    flush() fills memtables, one after another in each task: a memtable takes up to MEMTABLE rows, keeps the smallest
+    id of each digest, and is flushed as a sorted level-0 run; nothing is shuffled. Every run is Parquet with a Bloom
+    filter on the digest and min/max statistics for each page, so lookups skip runs that can't hold a digest. compact()
+    merges the runs of all levels into the next level, where each digest stands once, in sorted files. What is flushed
+    or merged becomes visible only with its _SUCCESS marker; a failed write leaves nothing that is read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -38,8 +47,7 @@ class LsmIndex:
     def _write(self, entries: DataFrame, level: int) -> None:
         run = f"{self.path}/L{level}-{uuid.uuid4().hex[:12]}"
         (
-            entries.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
+            entries.write.option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.adaptive.enabled#digest", "true")
             .option("parquet.bloom.filter.max.bytes", str(1 << 20))
             .parquet(run)
@@ -47,9 +55,20 @@ class LsmIndex:
         self.runs.append((level, run))
 
     def flush(self, keyed: DataFrame) -> None:
-        """Add a batch with the columns digest and id. The map side combines equal digests before anything moves."""
-        entries = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        self._write(entries, 0)
+        """Add rows with the columns digest and id."""
+
+        def memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= MEMTABLE:
+                    yield from sorted_run(held)
+                    held, rows = [], 0
+            if rows:
+                yield from sorted_run(held)
+
+        self._write(keyed.select("digest", F.col("id").cast("bigint").alias("id")).mapInArrow(memtables, SCHEMA), 0)
 
     def read(self) -> DataFrame:
         """All entries of all runs."""
@@ -57,20 +76,20 @@ class LsmIndex:
         return reduce(DataFrame.union, frames) if frames else self.spark.createDataFrame([], SCHEMA)
 
     def compact(self) -> None:
-        """One run of the next level from all others; nothing to do for a single run, which is compact as it is."""
-        if len(self.runs) < 2:
+        """One run of the next level from all others, with the smallest id of each digest."""
+        if not self.runs:
             return
         merged = self.read().groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
         level = 1 + max(level for level, _ in self.runs)
         old, self.runs = self.runs, []
         try:
-            self._write(merged, level)
+            self._write(merged.sortWithinPartitions("digest"), level)
         except BaseException:
             self.runs = old
             raise
 
     def repeated(self) -> DataFrame:
-        """Digests of more than one row."""
+        """Digests of more than one row; to be asked of a compact index."""
         return self.read().where("n > 1")
 
 

@@ -92,8 +92,9 @@ def test_components(spark):
 def test_index_of_several_runs_keeps_the_smallest_id(spark, tmp_path):
     index = exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index")
     for rows in ([("x", 5), ("y", 3)], [("x", 2), ("x", 9)], [("z", 1)]):
-        index.flush(spark.createDataFrame(rows, "text string, id bigint").select(exact_dedup.digest("text").alias("digest"), "id"))
-    assert len(index.runs) == 3
+        index.flush(spark.createDataFrame(rows, "text string, id bigint").coalesce(1).select(exact_dedup.digest("text").alias("digest"), "id"))
+    assert [level for level, _ in index.runs] == [0, 0, 0]
+    assert sorted((r["id"], r["n"]) for r in index.read().collect()) == [(1, 1), (2, 2), (3, 1), (5, 1)]
     index.compact()
     assert [level for level, _ in index.runs] == [1]
     assert sorted((r["id"], r["n"]) for r in index.read().collect()) == [(1, 1), (2, 3), (3, 1)]
