@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import DimensionMismatch, SearchError
 from ..functions import quantize
@@ -113,12 +114,12 @@ def _scored_by_batches(records: DataFrame, queries: DataFrame, k: int, metric: s
         raise DimensionMismatch(f"queries have {sorted(dims)} dimensions")
     dim = dims.pop() if dims else 0
     shared = records.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["query"] for r in rows], np.float64).reshape(len(rows), dim)))
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind, arrow = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
     id_kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        names = pa.array(names)
+        names = pa.array(names, arrow)
         length = np.linalg.norm(q, axis=1)
         for batch in batches:
             lists = batch.column("vector")
