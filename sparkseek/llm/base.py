@@ -26,7 +26,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def private(df: DataFrame, *names: str) -> list[str]:
@@ -63,7 +72,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, kinds).toDF(*schema.names)
 
 
-# --- words of a batch of texts, without a Python object per word -----------------------------------
+# == words of a batch of texts, without a Python object per word
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -189,7 +198,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out, begin
 
 
-# --- connected components -------------------------------------------------------------------------
+# == connected components
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -213,7 +222,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct(), "edges")
+        before, now = now, materialise(small.where("u <> v").distinct(), "edges")
+        release(before)
         was, seen = seen, fingerprint(now)
         if was == seen:
             break

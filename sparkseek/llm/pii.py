@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, pruned, slices, text_buffer
+from .base import materialise, pruned, release, slices, text_buffer
 
 KINDS = ("email", "phone", "card", "ip", "secret")
 ROUNDS = 3
@@ -197,9 +197,10 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         trust = {k: F.col(f"s_{k}") / (every + weight * F.col("unknown") + DOUBT) for k in KINDS}
         patterns = sums.select("pattern", *[F.when(t >= PATTERN_FROM, t).otherwise(0.0).alias(k) for k, t in trust.items()]).where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in KINDS]))
         gained = edges.join(patterns, "pattern").groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col(k)))))).alias(f"g_{k}") for k in KINDS])
-        scores = materialise(
+        before, scores = scores, materialise(
             scores.join(gained, "value", "left").select("value", "seed", *[F.when(F.col("seed").isNotNull(), F.col(k)).otherwise(F.round(F.coalesce(f"g_{k}", F.lit(0.0)), 9)).alias(k) for k in KINDS]), "scores"
         )
+        release(before)
     score = F.greatest(*[F.col(k) for k in KINDS])
     surest = reduce(lambda rest, k: F.when(F.col(k) == score, k).otherwise(rest), KINDS[-2::-1], F.lit(KINDS[-1]))
     kept = scores.where(score >= REPORT_FROM).select("value", surest.alias("kind"), score.alias("score"), F.col("seed").isNotNull().alias("seed"))

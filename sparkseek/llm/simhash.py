@@ -24,7 +24,7 @@ LARGE = 2048
 _ODD = (mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
-# --- fingerprints -----------------------------------------------------------------------------------
+# == fingerprints
 
 
 def halves(planes: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,7 +85,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prints, keys, count
 
 
-# --- comparison -------------------------------------------------------------------------------------
+# == comparison
 
 
 def slice_planes(prints: np.ndarray) -> np.ndarray:
