@@ -81,7 +81,7 @@ def sparse_code(value: Column, upper: Column | float, bits: int) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(top), value.cast("double") / upper * F.lit(top)))).cast("int")
 
 
-# --- sampled parameters -----------------------------------------------------------------------------
+# == sampled parameters
 
 
 def dense_range(df: DataFrame, vector_col: str, clamp_percent: float = 1.0) -> DataFrame:
@@ -122,7 +122,7 @@ def first_rows(df: DataFrame, n: int, seq_col: str) -> DataFrame:
     return df.orderBy(seq_col).limit(n)
 
 
-# --- clustering -------------------------------------------------------------------------------------
+# == clustering
 
 
 def kmeans_1d(df: DataFrame, value_col: str, start: list[float], iterations: int = 10) -> list[tuple[float, int]]:

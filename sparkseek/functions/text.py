@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .stemmer import stem
 
 MAX_TOKEN_BYTES = 40
-STOP_WORDS = tuple("a and are as at be but by for if in into is it no not of on or s such t that the their then there these they this to was will with www".split())
+STOP_WORDS = tuple("s t a as at be by if in is it no of on or to and are but for not the was www into such that then they this will with their there these".split())
 #: Letters, numbers and underscores; the same class on every engine.
 WORD = r"([\p{L}\p{N}_]+)"
 

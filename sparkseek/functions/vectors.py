@@ -84,7 +84,7 @@ def plane_hamming(a: Column, b: Column, bits: int) -> Column:
     return sum((hamming(F.element_at(a, i + 1), F.element_at(b, i + 1)) for i in range(bits)), F.lit(0.0))
 
 
-# --- half precision and batches, through Arrow ------------------------------------------------------
+# == half precision and batches, through Arrow
 
 
 def _half_pairs(kernel: Callable[[np.ndarray, np.ndarray], float]) -> Callable:
@@ -123,7 +123,7 @@ def vector_sha256(a: Column) -> Column:
     return F.sha2(F.pandas_udf(packed, "binary")(a), 256)
 
 
-# --- metrics ----------------------------------------------------------------------------------------
+# == metrics
 
 
 @dataclass(frozen=True)

@@ -55,7 +55,7 @@ def _record(records: DataFrame, record_id: int) -> list[float]:
     return list(row["dense"]) if row else [0.0]
 
 
-# --- dense ------------------------------------------------------------------------------------------
+# == dense
 
 _A, _B = "CAST(q.embedding AS DOUBLE[])", "CAST(e.embedding AS DOUBLE[])"
 _DOT = f"list_dot_product({_A}, {_B})"
@@ -153,7 +153,7 @@ def neighbors(spark, sf_dir):
     return dense.neighbours(_vectors(spark, sf_dir), 1)
 
 
-# --- quantisation -----------------------------------------------------------------------------------
+# == quantisation
 
 _U8 = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor((greatest(-0.6, least(0.6, x)) + 0.6) / 1.2 * 255.0) AS INTEGER))"
 
@@ -303,7 +303,7 @@ def product_quantized_topk(spark, sf_dir):
     return pq.encode(v.select("id", "dense"), "dense").select("id", F.round(pq.scores(F.col("codes"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
-# --- text and sparse --------------------------------------------------------------------------------
+# == text and sparse
 
 _STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
 
@@ -421,7 +421,7 @@ def sparse_upper_bound(spark, sf_dir):
     return quantize.sparse_upper_bound(_postings(spark, sf_dir))
 
 
-# --- hybrid -----------------------------------------------------------------------------------------
+# == hybrid
 
 #: The vector of the record with the query's number stands for the query.
 _DENSE_LEG = f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings q SEMI JOIN benchmark b ON b.item_id = q.vec_id, embeddings e"
@@ -484,7 +484,7 @@ def hybrid_batch_mixed(spark, sf_dir):
     return fusion.fuse([leg.join(kinds.where(F.col("left_out") != name), "query_id", "left_semi") for name, leg in legs.items()])
 
 
-# --- changes and versions ---------------------------------------------------------------------------
+# == changes and versions
 
 _CHANGES = "c AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, dense_rank() OVER (ORDER BY date_trunc('hour', ts)) AS version, value, ts FROM events)"
 
@@ -586,7 +586,7 @@ def json_records(spark, sf_dir):
     return wire.checked(wire.read_json(spark, path)).select("id", "document_id", "text", F.col("metadata")["lang"].alias("lang"))
 
 
-# --- graph ------------------------------------------------------------------------------------------
+# == graph
 
 _SCHEMA = """
 define entity region as name: string;

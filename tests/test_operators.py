@@ -142,10 +142,11 @@ def test_bm25(spark):
                 total += c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(terms[i]) / avg)) * math.log(1 + (4 - df + 0.5) / (df + 0.5))
         return round(total, 6)
 
-    got = {r["id"]: r["score"] for r in bm25.search(docs, queries, stemming=False).collect()}
+    hits = bm25.search(docs, queries, stemming=False)
+    got = dict(map(tuple, hits.select("id", "score").collect()))
     assert got == {i: score(i) for i in (1, 2, 513)}
     assert {r["id"] for r in bm25.search(docs, queries, bucketed=True, stemming=False).collect()} == {1, 2}, "1 and 513 share a bucket"
-    fixed = {r["id"]: r["score"] for r in bm25.search(docs, queries, stemming=False, avgdl=1.0).collect()}
+    fixed = dict(map(tuple, bm25.search(docs, queries, stemming=False, avgdl=1.0).select("id", "score").collect()))
     assert fixed[1] < got[1]
 
 

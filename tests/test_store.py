@@ -124,11 +124,11 @@ def test_indexes(coll):
 
 
 def test_schema_of_metadata(spark, store):
-    declared = {"fields": [{"name": "color", "values": ["red", "blue"]}, {"name": "age", "values": [1, 2]}], "conditions": [{"op": "And", "fields": ["color", "age"]}]}
+    declared = {"fields": [{"values": ["pink", "teal"], "name": "hue"}, {"values": [1, 2], "name": "age"}], "conditions": [{"fields": ["hue", "age"], "op": "And"}]}
     coll = store.create(Collection("m", dimension=2, metadata_schema=declared))
     schema = store.get("m").collection.schema()
     assert schema.max_replicas() == 4
-    rows = spark.createDataFrame([("a", {"color": "red", "age": "2"})], "id string, metadata map<string,string>")
+    rows = spark.createDataFrame([("a", {"hue": "pink", "age": "2"})], "id string, metadata map<string,string>")
     assert records.metadata_struct(rows, schema.struct_type()).first()["age"] == 2
     with pytest.raises(SearchError):
         records.metadata_struct(rows.withColumn("age", F.lit(1)), coll.collection.schema().struct_type())
