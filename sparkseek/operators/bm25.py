@@ -13,10 +13,15 @@ K1, B = 1.2, 0.75
 BUCKETS = 512
 
 
-def term_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True) -> DataFrame:
-    """(id, term, count, length): how often each term stands in each document, and the document's terms in all."""
+def term_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, count, length): how often each term stands in each document, and the document's terms in all.
+
+    With wanted, a table of terms, only these are counted; others are dropped before the shuffle.
+    """
     words = docs.select(F.col(id_col).alias("id"), t.terms(F.col(text_col), stemming).alias("terms")).where("terms IS NOT NULL")
     each = words.select("id", F.size("terms").cast("bigint").alias("length"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term"), "term", "left_semi")
     return each.groupBy("id", "length", "term").agg(F.count("*").alias("count"))
 
 
@@ -39,7 +44,7 @@ def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, av
     """
     asked = query_terms(queries, query_id_col, query_text_col, stemming)
     wanted = asked.select("term").distinct()
-    table = term_table(docs, id_col, text_col, stemming).join(wanted, "term", "left_semi")
+    table = term_table(docs, id_col, text_col, stemming, wanted)
     totals = corpus(docs, id_col, text_col)
     if avgdl is not None:
         totals = totals.withColumn("avgdl", F.lit(float(avgdl)))
