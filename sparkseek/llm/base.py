@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch, and the setting that bounds them.
+BATCH_BYTES = "8m"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where none is set, as in tests."""
@@ -60,8 +65,42 @@ def pruned(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[column(c).alias(name) for name, c in wanted.items()])
 
 
+def give_back() -> None:
+    """Memory that a task is done with, back to the system: an idle Python worker counts against its executor too."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of bounded size, whatever the length of texts; a limit that the session sets stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is None:
+        conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def arrow_groups(grouped: GroupedData, run: Callable[[pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """applyInArrow that gives memory back after each group."""
+
+    def tidy(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return grouped.applyInArrow(tidy, schema)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow by position: neither the names of df nor those of schema need be plain or distinct."""
+    """arrow_map by position: neither the names of df nor those of schema need be plain or distinct."""
     plain = [f"c{i}" for i in range(len(schema))]
     kinds = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, schema)])
 
@@ -69,7 +108,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=plain)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, kinds).toDF(*schema.names)
+    return arrow_map(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), renamed, kinds).toDF(*schema.names)
 
 
 # == words of a batch of texts, without a Python object per word

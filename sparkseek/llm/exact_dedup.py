@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import column, private, shared_dir
+from .base import arrow_map, column, private, shared_dir
 
 SCHEMA = "digest binary, id bigint, n bigint"
 #: Rows that a memtable takes before it is flushed.
@@ -68,7 +68,7 @@ class LsmIndex:
             if rows:
                 yield from sorted_run(held)
 
-        self._write(keyed.select("digest", F.col("id").cast("bigint").alias("id")).mapInArrow(memtables, SCHEMA), 0)
+        self._write(arrow_map(keyed.select("digest", F.col("id").cast("bigint").alias("id")), memtables, SCHEMA), 0)
 
     def read(self) -> DataFrame:
         """All entries of all runs."""

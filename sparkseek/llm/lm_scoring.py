@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import column, mapped, materialise, mix, private, pruned, slices, text_buffer, words
+from .base import arrow_groups, arrow_map, column, mapped, materialise, mix, private, pruned, slices, text_buffer, words
 
 ORDER = 3
 #: Counts are held as powers of this base.
@@ -144,7 +144,7 @@ def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         if size:
             yield from map(sent, held)
 
-    return docs.mapInArrow(run, "bucket int, keys binary, counts binary")
+    return arrow_map(docs, run, "bucket int, keys binary, counts binary")
 
 
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def build(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.array([data.tobytes()], pa.binary()), "tokens": pa.array([int(counts[single].sum())]), "types": pa.array([int(single.sum())])})
 
     some = pruned(docs, text=text_col).where("text IS NOT NULL")
-    return materialise(_counts(some, buckets, order).groupBy("bucket").applyInArrow(part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
+    return materialise(arrow_groups(_counts(some, buckets, order).groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
 
 
 def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int, tokens: int, types: int, least: int) -> np.ndarray:
@@ -309,7 +309,7 @@ def _scored_by_exchange(chosen: DataFrame, parts: DataFrame, buckets: int, order
         return pa.table([*kept, *_summary(first, logs)], names=[f"c{i}" for i in range(len(plain) + len(NEW))])
 
     kind = "slice bigint, bucket int, asked binary, rest binary"
-    sent = materialise(chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))]).mapInArrow(ask, kind), "probes")
-    back = sent.where("bucket >= 0").drop("rest").join(parts.select("bucket", "words"), "bucket").mapInArrow(answer, kind)
+    sent = materialise(arrow_map(chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))]), ask, kind), "probes")
+    back = arrow_map(sent.where("bucket >= 0").drop("rest").join(parts.select("bucket", "words"), "bucket"), answer, kind)
     out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
-    return sent.where("bucket < 0").union(back).groupBy("slice").applyInArrow(join, out).toDF(*schema.names)
+    return arrow_groups(sent.where("bucket < 0").union(back).groupBy("slice"), join, out).toDF(*schema.names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, mapped, materialise, private, pruned, slices, text_buffer, words
+from .base import arrow_map, column, mapped, materialise, private, pruned, slices, text_buffer, words
 
 #: The domain of a row of the labelled table, and the share of tokens that each is to have.
 DOMAIN = "CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' END"
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains: list[
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_windows(t) for t in b.column(2).to_pylist()], pa.string())], names=["domain", "order", "text"])
 
-    rows = sorted(texts.mapInArrow(cut, texts.schema).collect(), key=lambda r: (r["order"], r["text"]))
+    rows = sorted(arrow_map(texts, cut, texts.schema).collect(), key=lambda r: (r["order"], r["text"]))
     return train([r["text"] for r in rows], np.array([domains.index(r["domain"]) for r in rows]), domains, np.array([share.get(d, 0) / total for d in domains]))
 
 
@@ -193,7 +193,7 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
 
         sums = [F.sum(F.element_at("total", i + 1)).alias(f"s{i}") for i in range(k + 1)]
-        got = memberships.mapInArrow(run, "total array<double>").agg(*sums).first()
+        got = arrow_map(memberships, run, "total array<double>").agg(*sums).first()
         return np.array([x or 0.0 for x in got])
 
     start = expected(None)
@@ -226,7 +226,7 @@ def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
                 n, p = shared.value.posteriors(batch.column(0).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), _lists(p)], names=["n", "p"])
 
-    return materialise(docs.select(column(text_col).alias("text")).mapInArrow(run, "n bigint, p array<double>"), "memberships")
+    return materialise(arrow_map(docs.select(column(text_col).alias("text")), run, "n bigint, p array<double>"), "memberships")
 
 
 def _lists(p: np.ndarray) -> pa.ListArray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, pruned, release, slices, text_buffer
+from .base import arrow_map, materialise, pruned, release, slices, text_buffer
 
 KINDS = ("email", "phone", "card", "ip", "secret")
 ROUNDS = 3
@@ -165,7 +165,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
                     names=["id", "value", "seed", "patterns", "start", "end"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, value string, seed string, patterns array<string>, start bigint, end bigint")
+    return arrow_map(docs, run, f"id {kind}, value string, seed string, patterns array<string>, start bigint, end bigint")
 
 
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seeds: dict[str, str] | None = None) -> DataFrame:

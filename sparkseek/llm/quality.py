@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, mapped, private, text_buffer
+from .base import arrow_map, column, mapped, private, text_buffer
 
 #: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most.
 SAMPLE_ROWS = 2000
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = texts.select("id", "good", order.alias("order"), "text")
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = chosen.mapInArrow(parts, f"id {kind}, good boolean, order bigint, parts array<binary>").collect()
+    rows = arrow_map(chosen, parts, f"id {kind}, good boolean, order bigint, parts array<binary>").collect()
     rows.sort(key=lambda r: (r["order"], str(r["id"]), r["parts"]))
     by = {kind: [r["parts"] for r in rows if r["good"] == kind] for kind in (True, False)}
     if not by[True] or not by[False]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, components, materialise, mix, private, shingles, slices, text_buffer, words
+from .base import arrow_map, column, components, materialise, mix, private, shingles, slices, text_buffer, words
 
 BITS = 256
 #: Fingerprints that differ in at most this many bits belong to near copies.
@@ -236,7 +236,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(has)), raw, lists], names=["id", "print", "keys"])
 
     some = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, print binary, keys array<bigint>")
+    return arrow_map(some, run, f"id {some.schema['id'].dataType.simpleString()}, print binary, keys array<bigint>")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = sketch.select("print", F.col("id").alias("b")).join(least, "print").where("a <> b").select("a", "b")
     distinct = sketch.groupBy("print", "keys").agg(F.min("id").alias("id"))
     by_key = distinct.select("print", "id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "print").agg(F.min("id").alias("id")).select("key", "id", "print")
-    near = by_key.sortWithinPartitions("key").mapInArrow(lambda b: _compare(b, radius), f"a {kind}, b {kind}")
+    near = arrow_map(by_key.sortWithinPartitions("key"), lambda b: _compare(b, radius), f"a {kind}, b {kind}")
     return same.union(near)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import _power_tables, materialise, mix, pruned, slices, text_buffer, words
+from .base import arrow_map, materialise, mix, _power_tables, pruned, slices, text_buffer, words
 
 #: Words that a passage must have at least to count as a repeat.
 MIN_WORDS = 50
@@ -95,7 +95,7 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
                     names=["hash", "id", "place", "extent"],
                 )
 
-    return docs.mapInArrow(run, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, place int, extent bigint")
+    return arrow_map(docs, run, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, place int, extent bigint")
 
 
 def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
                 tail = of_text[own] << 32 | (chars[end[begin + min_words - 1]] - chars[off[own]])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(own)), pa.array(head), pa.array(tail)], names=["hash", "id", "head", "tail"])
 
-    return seeded.mapInArrow(run, f"hash bigint, id {seeded.schema['id'].dataType.simpleString()}, head bigint, tail bigint")
+    return arrow_map(seeded, run, f"hash bigint, id {seeded.schema['id'].dataType.simpleString()}, head bigint, tail bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import mapped, materialise, pruned
+from .base import arrow_groups, arrow_map, mapped, materialise, pruned
 
 K = 10
 #: Score lists of a query: one for each of so many ranges of the vectors' dimensions.
@@ -39,7 +39,7 @@ def _tiles(vectors: DataFrame, dim: int) -> DataFrame:
             for i in range(0, len(ids), TILE):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + TILE].tobytes()], pa.binary()), pa.array([data[i : i + TILE].tobytes()], pa.binary())], names=["ids", "data"])
 
-    packed = vectors.mapInArrow(run, "ids binary, data binary")
+    packed = arrow_map(vectors, run, "ids binary, data binary")
     return materialise(packed.select(F.monotonically_increasing_id().alias("tile"), "ids", "data"), "tiles")
 
 
@@ -166,10 +166,10 @@ def top_k(vectors: DataFrame, k: int = K, lists: int = LISTS, id_col: str = "vec
         return pa.table({"query_id": qi[rows[best]], "rank": rank.astype(np.int32), "id": ids[best], "score": scores[best] + 0.0})
 
     local = mapped(_pairs(tiles, n), gather, _schema(spark, kind))
-    low = materialise(local.groupBy("q").applyInArrow(cutoff, "q bigint, low binary"), "cutoffs")
+    low = materialise(arrow_groups(local.groupBy("q"), cutoff, "q bigint, low binary"), "cutoffs")
     reached = mapped(_pairs(tiles, n, low), collect, _schema(spark, kind))
     entries = reached.join(tiles.select(F.col("tile").alias("q"), F.col("ids").alias("q_ids")), "q")
-    return entries.groupBy("q").applyInArrow(resolve, "query_id bigint, rank int, id bigint, score double")
+    return arrow_groups(entries.groupBy("q"), resolve, "query_id bigint, rank int, id bigint, score double")
 
 
 def _schema(spark, ddl: str):
