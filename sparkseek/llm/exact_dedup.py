@@ -100,28 +100,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other. A null id counts as the largest. Rows of equal text and id (repeated rows) are copies too: one stays, the
     first by the hash of its other columns. An empty table gives an empty result. Extra columns are kept as they are.
 
-    Digests alone go into the index (24 bytes a row); only texts whose digest repeats are moved, to be grouped by their
-    bytes, so a digest that two different texts share loses neither.
+    Digests alone go into the index (24 bytes a row). Rows are then moved once, to where the index has their digest: one
+    that doesn't repeat passes, and rows of one that does are grouped by their bytes, so a digest that two different
+    texts share loses neither.
     """
-    d, row, order = private(docs, "digest", "row", "order")
+    d, row = private(docs, "digest", "row")
     text, ident = column(text_col), column(id_col)
     index = index or LsmIndex(docs.sparkSession)
-    some = docs.where(text.isNotNull())
-    index.flush(some.select(digest(text).alias("digest"), ident.cast("long").alias("id")))
+    index.flush(docs.where(text.isNotNull()).select(digest(text).alias("digest"), ident.cast("long").alias("id")))
     index.compact()
-    repeated = index.repeated().select(F.col("digest").alias(d))
-    keyed = docs.withColumn(d, digest(text))
-    single = keyed.join(repeated, d, "left_anti").select(*[column(c) for c in docs.columns])
-    hits = some.withColumn(d, digest(text)).join(repeated, d, "left_semi")
+    repeated = index.repeated().select(F.col("digest").alias(d)).hint("shuffle_hash")
+    # both joins read the same columns, and no filter on a null digest comes between: one exchange serves both
+    keyed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias(row), F.coalesce(digest(text), F.lit(b"")).alias(d))
+    single = keyed.join(repeated, d, "left_anti")
+    hits = keyed.join(repeated, d, "left_semi")
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    packed = hits.select(
-        d,
-        text.alias("t"),
-        F.struct(*[column(c) for c in docs.columns]).alias(row),
-        F.struct(ident.isNull(), ident, F.xxhash64(*[column(c) for c in plain])).alias(order),
-    )
-    first = packed.groupBy(d, "t").agg(F.min_by(row, order).alias(row))
-    return single.unionByName(first.select(f"{row}.*"))
+    own = F.col(row)[id_col]
+    order = F.struct(own.isNull(), own, F.xxhash64(*[F.col(row)[c] for c in plain]))
+    first = hits.groupBy(d, F.col(row)[text_col].alias("t")).agg(F.min_by(row, order).alias(row))
+    return single.select(f"{row}.*").unionByName(first.select(f"{row}.*"))
 
 
 SQL = """
