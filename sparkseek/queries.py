@@ -653,7 +653,7 @@ def graph_derive(spark, sf_dir):
 @query("WITH RECURSIVE link AS (SELECT n_nationkey AS s, (n_nationkey * 2 + 1) % 25 AS t FROM nation), reach AS (SELECT s, t FROM link UNION SELECT r.s, l.t FROM reach r JOIN link l ON l.s = r.t) SELECT 'n' || s AS source, 'n' || t AS target FROM reach")
 def graph_reachable(spark, sf_dir):
     text = """define rule direct as match (source: $a, target: $b) forms links infer materialize (source: $a, target: $b) forms reachable;
-        define rule further as match (source: $a, target: $b) forms reachable, (source: $b, target: $c) forms links infer materialize (source: $a, target: $c) forms reachable;
+        define rule further as match (source: $a, target: $b) forms reachable, (source: $b, target: $c) forms reachable infer materialize (source: $a, target: $c) forms reachable;
         match (source: $source, target: $target) forms reachable get $source, $target;"""
     return graph(spark, sf_dir).run(text)[0]
 
