@@ -26,7 +26,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """With every n-gram held, those seen once too."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), keep=["doc_id"], min_count=1)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

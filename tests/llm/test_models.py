@@ -97,6 +97,27 @@ def test_scores_are_those_of_exact_counts(spark, sf):
     assert other == {i: r["log_prob"] for i, r in got.items()}
 
 
+def test_registered_scores_count_what_is_seen_once(spark, tmp_path):
+    from sparkseek.llm import queries
+
+    text = prose(5, 300)
+    spark.createDataFrame([(1, text), (2, " ".join(reversed(text.split())))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [[w for w, _, _ in words(t)] for t in (text, " ".join(reversed(text.split())))]
+    count = [Counter(tuple(w[a : a + n]) for w in own for a in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    assert sum(c == 1 for c in count[2].values()) > 500
+    held = lambda g: float(lm_scoring.count_at(lm_scoring.level_of(np.array([count[len(g) - 1][g]])))[0])
+    got = {r["doc_id"]: r["log_prob"] for r in queries.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    for i, w in enumerate(own, 1):
+        total = 0.0
+        for a in range(len(w)):
+            p = 0.1 * (held((w[a],)) + 1) / (sum(count[0].values()) + len(count[0]) + 1)
+            for n, weight in ((1, 0.3), (2, 0.6)):
+                if a >= n:
+                    p += weight * min(held(tuple(w[a - m : a + 1])) for m in range(n + 1)) / held(tuple(w[a - n : a]))
+            total += math.log(p)
+        assert abs(got[i] - total) / len(w) < 0.05
+
+
 def test_filter_misses_nothing_and_packing_loses_nothing():
     rng = np.random.default_rng(6)
     keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
