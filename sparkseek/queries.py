@@ -416,6 +416,12 @@ def _upper_sql() -> str:
     return f"WITH {_SPARSE} SELECT CAST(CASE {cases} ELSE 10.0 END AS DOUBLE) AS upper FROM p"
 
 
+@query(f"WITH {_SPARSE} {_ranked_sql('exact')}")
+def sparse_rerank_whole(spark, sf_dir):
+    """sparse_rerank without its cut to 50 candidates by clipped codes, which its SQL has: the exact rows."""
+    return sparse.quantized_search(_coded(spark, sf_dir), _sparse_queries(spark, sf_dir), upper=8.0, rerank=True, oversample=None)
+
+
 @query(_upper_sql())
 def sparse_upper_bound(spark, sf_dir):
     return quantize.sparse_upper_bound(_postings(spark, sf_dir))

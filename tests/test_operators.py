@@ -126,6 +126,34 @@ def test_sparse_search(spark):
     assert sorted(map(tuple, sparse.postings(records).collect())) == [(1, "a", 2.0), (3, "a", 1.0)]
 
 
+def test_clipped_codes_lose_nothing_that_is_reranked(spark):
+    """Values far above the upper bound, and below 0: more than the candidates of an oversample saturate alike."""
+    rng = np.random.default_rng(8)
+    table = {(d, i): float(rng.integers(-5, 90)) for i in range(200) for d in range(4)}
+    postings = spark.createDataFrame([(d, i, v) for (d, i), v in table.items()], "dim bigint, id bigint, val double")
+    queries = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 2, 1.5), (1, 3, -1.0)], "query_id bigint, dim bigint, q double")
+    coded = sparse.with_codes(postings, 8.0, 6)
+    exact = sorted(map(tuple, sparse.search(postings, queries).collect()))
+    assert sorted(map(tuple, sparse.quantized_search(coded, queries, 10, 8.0, rerank=True, oversample=None).collect())) == exact
+    assert sorted(map(tuple, sparse.quantized_search(coded, queries, 10, 8.0, rerank=True).collect())) != exact
+    with pytest.raises(SearchError):
+        sparse.quantized_search(coded, queries, 10, 8.0, threshold=0.2, rerank=True, oversample=None)
+
+
+def test_sparse_rerank_whole_has_the_exact_rows_at_scale(spark):
+    """On sf0.1, against the SQL of the exact scores."""
+    import duckdb
+
+    from sparkseek import queries
+
+    at, c = "/root/testdata/sf0.1", duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    want = {(r[0], r[2]) for r in c.sql(queries.oracle_sql()["sparse_batch"]).fetchall()}
+    got = {(r["query_id"], r["id"]) for r in queries.sparse_rerank_whole(spark, at).collect()}
+    assert len(got & want) == len(want)
+
+
 def test_bm25(spark):
     import math
 
