@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from . import dense
 
 
+#: Share of the exact results that is wanted on the queries it is measured on, and how many these are. It is above 0.9,
+#: so that other queries don't fall below that.
+RECALL = 0.95
+QUERIES = 200
+
+
 class ClusterIndex:
     """Records routed to the nearest of some centroids; a query reads the lists of the centroids nearest to it."""
 
@@ -33,6 +39,22 @@ class ClusterIndex:
     def probed(self, query: list[float], probes: int) -> list[int]:
         return np.argsort(((self.centroids - np.asarray(query)) ** 2).sum(1), kind="stable")[:probes].tolist()
 
+    def probes_for(self, assigned: DataFrame, k: int = 10, recall: float = RECALL, queries: int = QUERIES, metric: str = "cosine", id_col: str = "id", vector_col: str = "dense") -> int:
+        """The least number of lists that hold this share of the exact k best, over queries that are records of the table.
+
+        The queries are the first by a hash of their id, and each is compared with all records.
+        """
+        dim = self.centroids.shape[1]
+        rows = assigned.where(F.size(vector_col) == dim).orderBy(F.xxhash64(id_col), id_col).limit(queries)
+        asked = [(i, [float(x) for x in r[vector_col]]) for i, r in enumerate(rows.select(vector_col).collect())]
+        table = assigned.sparkSession.createDataFrame(asked, "query_id bigint, query array<double>")
+        best = dense.batch_search(assigned, table, k, metric, id_col, vector_col)
+        lists = assigned.select(F.col(id_col).alias("id"), "cluster").distinct()
+        found = best.join(lists, "id").groupBy("query_id", "cluster").agg(F.count("*").alias("n")).collect()
+        place = {i: {c: at for at, c in enumerate(self.probed(v, len(self.centroids)))} for i, v in asked}
+        held = np.bincount([place[r["query_id"]][r["cluster"]] for r in found], [r["n"] for r in found], len(self.centroids)) if found else np.ones(len(self.centroids))
+        return int(np.searchsorted(np.cumsum(held), recall * held.sum() - 1e-9)) + 1
+
     def search(self, assigned: DataFrame, query: list[float], k: int = 10, probes: int = 3, **options) -> DataFrame:
         """Like dense.search, over the lists probed; a table partitioned by cluster is read in these parts alone."""
         return dense.search(assigned.where(F.col("cluster").isin(self.probed(query, probes))), query, k, **options)

@@ -286,7 +286,8 @@ def half_precision_dot(spark, sf_dir):
 def dense_topk_clusters(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     index = ann.ClusterIndex.fit(v, 8)
-    return index.search(index.assign(v), _record(v, 0), probes=4)
+    assigned = index.assign(v)
+    return index.search(assigned, _record(v, 0), probes=index.probes_for(assigned))
 
 
 @query()

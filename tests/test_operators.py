@@ -94,6 +94,27 @@ def test_approximate_search_recall(spark):
     assert ann.projection_search(records, [float(a) for a in x[0]], 3, width=8.0).first()["id"] == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_clusters_against_brute_force(spark, sf, monkeypatch):
+    """The lists that dense_topk_clusters reads, with every record as the query."""
+    from sparkseek import queries
+
+    seen = {}
+
+    def search(index, assigned, query, k=10, probes=3, **options):
+        seen.update(index=index, k=k, probes=probes)
+        return assigned
+
+    monkeypatch.setattr(ann.ClusterIndex, "search", search)
+    rows = queries.dense_topk_clusters(spark, f"/root/testdata/{sf}").collect()
+    x, cluster = np.array([r["dense"] for r in rows], float), np.array([r["cluster"] for r in rows])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    exact = np.argsort(-np.round(unit @ unit.T, 6), axis=1, kind="stable")[:, : seen["k"]]
+    recall = np.mean([np.isin(cluster[exact[i]], seen["index"].probed(x[i], seen["probes"])).mean() for i in range(len(x))])
+    assert recall >= 0.9, (recall, seen["probes"])
+    print("recall", sf, recall, seen["probes"])
+
+
 def test_sparse_search(spark):
     rng = np.random.default_rng(3)
     table = {(d, f"i{i}"): float(rng.integers(1, 9)) / 2 for i in range(40) for d in rng.choice(20, 6, replace=False).tolist()}
