@@ -188,3 +188,57 @@ class ProductQuantizer:
             table = F.array(*[F.lit(float(x)) for x in book @ np.asarray(query[i * width : (i + 1) * width])])
             total = total + F.get(table, F.get(codes, F.lit(i)))
         return total
+
+    def candidates_for(self, encoded: DataFrame, k: int = 10, recall: float = 0.95, queries: int = 200, id_col: str = "id", vector_col: str = "dense", codes_col: str = "codes") -> int:
+        """The least number of candidates by codes that holds this share of the exact k best by inner product.
+
+        It is measured on records as queries, the first by a hash of their id, each of which is compared with all
+        records: of its k best ones the places by codes are counted, those that tie with them included.
+        """
+        books, dim = self.codebooks, sum(b.shape[1] for b in self.codebooks)
+        right = encoded.where(F.size(vector_col) == dim).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(codes_col).alias("codes"))
+        rows = right.orderBy(F.xxhash64("id"), "id").limit(queries).select("vector").collect()
+        if not rows:
+            return k
+        q = np.array([r["vector"] for r in rows])
+        width = books[0].shape[1]
+        tables = [q[:, i * width : (i + 1) * width] @ b.T for i, b in enumerate(books)]
+
+        def rough(codes: np.ndarray) -> np.ndarray:
+            return np.round(sum(t[:, codes[:, i]] for i, t in enumerate(tables)), 6)
+
+        def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            return batch.column("vector").flatten().to_numpy().reshape(-1, dim), batch.column("codes").flatten().to_numpy().reshape(-1, len(books))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, codes = columns(batch)
+                exact, near = q @ x.T, rough(codes)
+                top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(len(q)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(exact[at, top.ravel()]), pa.array(near[at, top.ravel()])], names=["query", "exact", "near"])
+
+        hits: list[list] = [[] for _ in q]
+        for r in right.mapInArrow(best, "query bigint, exact double, near double").groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("exact", "near")), asc=False), 1, k).alias("hits")).collect():
+            hits[r["query"]] = [h["near"] for h in r["hits"]]
+        wanted = [np.sort(h) for h in hits]
+
+        def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros(len(w), np.int64) for w in wanted]
+            for batch in batches:
+                near = np.sort(rough(columns(batch)[1]), axis=1)
+                for i, w in enumerate(wanted):
+                    total[i] += near.shape[1] - np.searchsorted(near[i], w, side="left")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sum(map(len, total)))), pa.array(np.concatenate(total))], names=["hit", "place"])
+
+        places = sorted(r["place"] for r in right.mapInArrow(beyond, "hit bigint, place bigint").groupBy("hit").agg(F.sum("place").alias("place")).collect())
+        return max(k, places[int(np.ceil(recall * len(places) - 1e-9)) - 1])
+
+    def search(self, encoded: DataFrame, query: list[float], k: int = 10, candidates: int = 10, id_col: str = "id", vector_col: str = "dense", codes_col: str = "codes") -> DataFrame:
+        """(id, score): the best candidates by codes, ranked by the exact inner product; ties go to the smallest id."""
+        rough = F.round(self.scores(F.col(codes_col), query), 6)
+        exact = F.aggregate(F.zip_with(F.col(vector_col).cast("array<double>"), F.array(*[F.lit(float(x)) for x in query]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        some = encoded.select(F.col(id_col).alias("id"), rough.alias("rough"), vector_col).orderBy(F.desc("rough"), "id").limit(candidates)
+        return some.select("id", F.round(exact, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -301,7 +301,8 @@ def product_quantized_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     pq = quantize.ProductQuantizer.fit(v, "dense", 64)
     q = _record(v, 0)
-    return pq.encode(v.select("id", "dense"), "dense").select("id", F.round(pq.scores(F.col("codes"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    encoded = pq.encode(v.select("id", "dense"), "dense")
+    return pq.search(encoded, q, candidates=pq.candidates_for(encoded))
 
 
 # == text and sparse

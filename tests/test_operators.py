@@ -115,6 +115,32 @@ def test_registered_clusters_against_brute_force(spark, sf, monkeypatch):
     print("recall", sf, recall, seen["probes"])
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_product_codes_against_brute_force(spark, sf, monkeypatch):
+    """The candidates that product_quantized_topk re-ranks, with every record as the query, and its rows for its own."""
+    from sparkseek import queries
+    from sparkseek.functions.quantize import ProductQuantizer
+
+    v = queries._vectors(spark, f"/root/testdata/{sf}").collect()
+    ids, x = np.array([r["id"] for r in v]), np.array([r["dense"] for r in v], float)
+    exact = np.argsort(-np.round(x @ x.T, 6), axis=1, kind="stable")[:, :10]
+    got = {r["id"] for r in queries.product_quantized_topk(spark, f"/root/testdata/{sf}").collect()}
+    own = np.flatnonzero(ids == 0)[0]
+    seen = {}
+
+    def search(pq, encoded, query, k=10, candidates=10, **options):
+        seen.update(pq=pq, candidates=candidates)
+        return encoded
+
+    monkeypatch.setattr(ProductQuantizer, "search", search, raising=False)
+    codes = np.array([r["codes"] for r in queries.product_quantized_topk(spark, f"/root/testdata/{sf}").collect()])
+    near = sum((x[:, i * 8 : i * 8 + 8] @ b.T)[:, codes[:, i]] for i, b in enumerate(seen["pq"].codebooks))
+    some = np.argsort(-np.round(near, 6), axis=1, kind="stable")[:, : seen["candidates"]]
+    recall = np.mean([np.isin(exact[i], some[i]).mean() for i in range(len(x))])
+    print("recall", sf, recall, seen["candidates"], np.mean([np.isin(exact[i], some[i][:10]).mean() for i in range(len(x))]))
+    assert recall >= 0.9 and len(got & set(ids[exact[own]].tolist())) >= 8
+
+
 def test_sparse_search(spark):
     rng = np.random.default_rng(3)
     table = {(d, f"i{i}"): float(rng.integers(1, 9)) / 2 for i in range(40) for d in rng.choice(20, 6, replace=False).tolist()}
