@@ -25,6 +25,8 @@ MIN_ROWS = 8
 #: Weight of staying near a rate of 1.
 RIDGE = 1e-4
 ITERATIONS = 60
+#: Without a budget, a domain that is too scarce for its share is repeated up to so many times, and has less beyond that.
+MOST_REPEATS = 4
 #: Steps end when no domain's share of tokens changes by more.
 TOLERANCE = 1e-5
 _KINDS = ("upper", "digit", "mark", "other")
@@ -176,7 +178,8 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
     document by its tokens. Each step is one pass that sums K numbers; a document's rate depends on its posteriors and
     on the residuals of the steps so far alone, so no rate is stored and a lost executor costs one task.
 
-    budget is the share of all tokens that the mixture has; by default the largest at which no domain must repeat.
+    budget is the share of all tokens that the mixture has. By default it is that at which the domain of the largest
+    target is used once and whole; scarcer domains repeat for their share, up to MOST_REPEATS times.
     """
     k = len(domains)
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
@@ -204,8 +207,13 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
     available = available / total
     rates.scale = 1 / np.maximum(available, 1e-6)
     can = (want > 0) & (available > 0)
-    size = budget if budget is not None else float((available[can] / want[can]).min()) if can.any() else 1.0
-    target = want * size
+    if budget is not None:
+        target = want * budget
+    elif can.any():
+        main = max(np.flatnonzero(can), key=lambda i: (want[i], available[i]))
+        target = np.minimum(want * available[main] / want[main], available * MOST_REPEATS)
+    else:
+        target = want
     now = available
     for _ in range(ITERATIONS):
         residual = now - target
