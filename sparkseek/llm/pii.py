@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -29,11 +30,16 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), 64]] = True
 _LEFT, _RIGHT = "\"'`[{<*_#|", ".,;:!?\"'`]}>*&%$#|_"
 _PIECE = re.compile(r"[+(]?\(?\d{1,4}(?:[)\-]+\d{1,4})*\)?")
-_SEEDS = (
-    ("email", re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")),
-    ("phone", re.compile(r"\+?\d{1,3}[ \-]?\(\d{3}\)[ \-]?\d{3}-\d{4}")),
-    ("secret", re.compile(r"(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}")),
+#: What may not stand before a form of digits: a word, or a number that goes on.
+_OPEN, _SHUT = r"(?<!\w)(?<!\d[.\-+])", r"(?!\w|[.\-]\d)"
+_EMAIL = re.compile(r"(?<![\w.+\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
+_SECRET = re.compile(
+    r"(?<![0-9A-Za-z/])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_\w{22,255}|glpat-[\w\-]{20,}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|sk-[\w\-]{20,}|xox[abprs]-[0-9A-Za-z\-]{10,}|AIza[\w\-]{35}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![0-9A-Za-z])"
 )
+_CARD = re.compile(_OPEN + r"(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})" + _SHUT)
+_PHONE = re.compile(_OPEN + r"(?:\+?\d{1,3}[ \-]?\(\d{3}\)[ \-]?\d{3}-\d{4}|\(\d{3}\)[ \-]?\d{3}-\d{4}|(?:\+?1[ .\-])?\d{3}([.\-])\d{3}\1\d{4}|\+[1-9]\d{0,2}(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,4})){2,6})" + _SHUT)
+_IP = re.compile(r"(?<![\w.])[1-9]\d{0,2}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 
 
 def luhn(digits: str) -> bool:
@@ -44,16 +50,36 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _digits(value: str) -> str:
+    return re.sub(r"\D", "", value)
+
+
+_FORMS = (
+    ("email", _EMAIL, lambda v: True),
+    ("secret", _SECRET, lambda v: True),
+    ("card", _CARD, lambda v: luhn(_digits(v))),
+    ("phone", _PHONE, lambda v: 8 <= len(_digits(v)) <= 15),
+    ("ip", _IP, lambda v: all(int(x) < 256 for x in v.split("."))),
+)
+
+
+def seeds_in(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of what is beyond doubt by its form alone, wherever it stands; of two that overlap the first form's."""
+    out: list[tuple[int, int]] = []
+    for kind, form, right in _FORMS:
+        if kind == "email" and "@" not in text:
+            continue
+        more = [m.span() for m in form.finditer(text) if right(m[0])]
+        if out and more:
+            begins = [a for a, _ in out]
+            more = [(a, b) for a, b in more if not ((i := bisect.bisect_left(begins, b)) and out[i - 1][1] > a)]
+        out = sorted(out + more) if more else out
+    return out
+
+
 def seed_kind(value: str) -> str | None:
     """The kind of a value that is beyond doubt by its form alone."""
-    for kind, form in _SEEDS:
-        if form.fullmatch(value):
-            return kind
-    if re.fullmatch(r"[1-9]\d{0,2}(?:\.\d{1,3}){3}", value) and all(int(x) < 256 for x in value.split(".")):
-        return "ip"
-    if re.fullmatch(r"[0-9]{13,19}", value) and luhn(value):
-        return "card"
-    return None
+    return next((kind for kind, form, right in _FORMS if form.fullmatch(value) and right(value)), None)
 
 
 def shape(value: str) -> str:
@@ -83,7 +109,46 @@ def _word(raw: bytes) -> str:
     return (text[a:b] or text).lower()
 
 
+def _around(text: str, begin: int, end: int) -> tuple[str, str, str]:
+    """(two words before, word before, word after) of a place in a text, within its line; a part of a word is a word."""
+    # a word of more than 1000 characters is cut
+    left = text[max(text.rfind("\n", 0, begin) + 1, begin - 1000) : begin].split()[-2:]
+    right = text[end : end + 1000].split("\n", 1)[0].split()[:1]
+    left = ["^"] * (2 - len(left)) + left
+    one = _word(left[1].encode("utf-8", "replace"))
+    return f"{_word(left[0].encode('utf-8', 'replace'))} {one}", one, _word(right[0].encode("utf-8", "replace")) if right else "$"
+
+
 def candidates(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int]]:
+    """(row, value, two words before, word before, word after, first character, end) of each seed and each other token.
+
+    Seeds are found wherever they stand, so in JSON, CSV and URLs too; a token that holds or touches one, and isn't one
+    itself, is no candidate.
+    """
+    held: dict[int, list[tuple[int, int]]] = {}
+    strings = texts.to_pylist()
+    for i, text in enumerate(strings):
+        if text and (spans := seeds_in(text)):
+            held[i] = spans
+    whole: dict[int, set[tuple[int, int]]] = {}
+    for token in _tokens(texts):
+        spans = held.get(token[0])
+        if spans:
+            lo, hi = token[5], token[6]
+            i = bisect.bisect_left(spans, (hi, 0))
+            if i and spans[i - 1][1] > lo:
+                if spans[i - 1] != (lo, hi):
+                    continue
+                whole.setdefault(token[0], set()).add((lo, hi))
+        yield token
+    for doc, spans in held.items():
+        done = whole.get(doc, ())
+        for a, b in spans:
+            if (a, b) not in done:
+                yield doc, strings[doc][a:b], *_around(strings[doc], a, b), a, b
+
+
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int]]:
     """(row, value, two words before, word before, word after, first character, end) of each token with a digit or @.
 
     Tokens are what lies between white space; pieces of a phone number with a space between are one.
@@ -171,8 +236,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seeds: dict[str, str] | None = None) -> DataFrame:
     """(id, kind, value, start, end, score, seed): every identifier found; start and end count characters.
 
-    Candidates are the tokens with a digit or an @. Those whose form alone tells their kind are seeds, and so are the
-    keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before; its shape; the word
+    Candidates are the tokens with a digit or an @, and what has a form that alone tells its kind, wherever it stands in
+    a text. The latter are seeds, and so are the keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before; its shape; the word
     before with the shape; the shape with the word after. In each round a pattern's confidence in a kind is the
     confidence of its distinct instances in that kind, against that in others, the unknown ones and DOUBT; an
     instance's is 1 - product(1 - confidence of its patterns from PATTERN_FROM on). Seeds keep 1. What ends at
