@@ -143,8 +143,15 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.min("id").over(by), "hi": F.max("id").over(by)}).where("lo <> hi")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows with group: a hash of the set of ids that have the row's hash."""
+    by = Window.partitionBy("hash")
+    once = F.when(F.lag("id").over(by.orderBy("id")) == F.col("id"), 0).otherwise(F.xxhash64("id"))
+    return rows.withColumn("once", once).withColumn("group", F.expr("bit_xor(once)").over(by)).drop("once")
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, n_words, start_char, end_char, partner): the maximal repeated passages of each document.
+    """(id, start_word, n_words, start_char, end_char, partner, pieces): the maximal repeated passages of each document.
 
     A passage of a document repeats if each run of min_words successive words in it also stands in a document of
     another id, word for word but for case and what is between words; it is maximal if it can't be extended by a word
@@ -153,6 +160,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     smallest; if others have all the words of the text and no more, it is one of these. A passage repeated only within
     one document is none.
 
+    pieces, array<struct<start_word, n_words, group>>, splits a passage where the set of documents that share its runs of
+    min_words words changes: all documents with a piece of a group share that piece, so every pair and its maximal
+    repeats, which are successive pieces of groups that both have, can be told without a row a pair. The first piece of a
+    text that others have whole is the whole, and its group is that of these copies; the one that stands for them has
+    the pieces that it shares with other texts too.
+
     Seeds are the anchors (winnowed runs of about half min_words words, one at least in every min_words words) that
     documents of two ids share, joined by hash. Each is extended both ways; what others share at full length stays, and
     what overlaps by all but a word is one passage. All partners count, without a pair for each. Texts with the same
@@ -167,18 +180,25 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     partner = F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo"))
     whole = shared.where("place < 0")
     seeds = shared.where("place >= 0").join(whole.where("id <> lo").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_set("place").alias("seeds"))
-    found = _shared(_extended(some.join(seeds, "id").select("id", "text", "seeds"), min_words))
+    found = _grouped(_shared(_extended(some.join(seeds, "id").select("id", "text", "seeds"), min_words)))
     split = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     (word, begin), (of, end) = split("head"), split("tail")
-    each = found.select("id", of.alias("of"), word.alias("word"), begin.alias("begin"), end.alias("end"), partner.alias("partner"))
+    each = found.select("id", of.alias("of"), word.alias("word"), begin.alias("begin"), end.alias("end"), partner.alias("partner"), "group")
     in_text = Window.partitionBy("id", "of").orderBy("word")
-    ahead = each.withColumn("new", F.when(F.col("word") - F.lag("word").over(in_text) <= 1, 0).otherwise(1))
-    runs = ahead.withColumn("run", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("id", "of", "run").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("partner").alias("partner"))
+    ahead = each.withColumn("new", F.when(F.col("word") - F.lag("word").over(in_text) <= 1, 0).otherwise(1)).withColumn("turn", F.when((F.col("new") == 0) & (F.col("group") == F.lag("group").over(in_text)), 0).otherwise(1))
+    so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)
+    runs = ahead.withColumns({"run": F.sum("new").over(so_far), "piece": F.sum("turn").over(so_far)})
+    own = [F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("partner").alias("partner")]
+    pieces = runs.groupBy("id", "of", "run", "piece", "group").agg(F.min("word").alias("a"), F.max("word").alias("b"), *own)
+    piece = F.struct(F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), "group")
+    passages = pieces.groupBy("id", "of", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), *own, F.array_sort(F.collect_list(piece)).alias("pieces"))
     parts = passages.join(whole.select("id").distinct(), "id", "left_anti").select(
-        "id", F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), F.col("begin").alias("start_char"), F.col("end").alias("end_char"), "partner"
+        "id", F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), F.col("begin").alias("start_char"), F.col("end").alias("end_char"), "partner", "pieces"
     )
     copies = whole.select(
-        "id", F.lit(0).cast("bigint").alias("start_word"), (-1 - F.col("place")).cast("bigint").alias("n_words"), split("extent")[0].alias("start_char"), split("extent")[1].alias("end_char"), partner.alias("partner")
-    ).groupBy("id", "start_word", "n_words", "start_char", "end_char").agg(F.min("partner").alias("partner"))
+        "id", F.lit(0).cast("bigint").alias("start_word"), (-1 - F.col("place")).cast("bigint").alias("n_words"), split("extent")[0].alias("start_char"), split("extent")[1].alias("end_char"), partner.alias("partner"), "hash"
+    ).groupBy("id", "start_word", "n_words", "start_char", "end_char").agg(F.min("partner").alias("partner"), F.min("hash").alias("hash"))
+    within = passages.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+    all_of_it = F.struct("start_word", "n_words", F.col("hash").alias("group"))
+    copies = copies.join(within, "id", "left").withColumn("pieces", F.concat(F.array(all_of_it), F.coalesce("pieces", F.array().cast(within.schema["pieces"].dataType)))).drop("hash")
     return parts.union(copies).withColumnRenamed("id", id_col)

@@ -122,6 +122,25 @@ def test_passages_against_all_windows(spark, docs, least):
     assert got == repeated_passages(texts, least) and got
 
 
+def test_pieces_tell_all_partners_and_where_they_change(spark):
+    one, two, three = (prose(i, 80) for i in (501, 502, 503))
+    alone = lambda i: prose(600 + i, 30)
+    texts = {1: f"{alone(1)} {one} {alone(2)}", 2: f"{alone(3)} {one} {alone(4)}", 3: f"{alone(5)} {one} {alone(6)}", 4: f"{alone(7)} {two} {three}", 5: f"{alone(8)} {two} {alone(9)}", 6: f"{alone(10)} {three} {alone(11)}"}
+    # 4 has passages of 5 and 6 that overlap by all but a word, so that they make one run
+    w = texts[4].split()
+    texts[6] = f"{alone(10)} {' '.join(w[110 - 49 : 190])} {alone(11)}"
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    of = {}
+    for r in substring_dedup.repeats(docs).collect():
+        for p in r["pieces"]:
+            of.setdefault(p["group"], {})[r["doc_id"]] = (p["start_word"], p["n_words"])
+    assert {tuple(sorted(g)) for g in of.values()} == {(1, 2, 3), (4, 5), (4, 6)}
+    for g in of.values():
+        assert len({" ".join(texts[i].split()[a : a + n]) for i, (a, n) in g.items()}) == 1
+    ends = {tuple(sorted(g)): g[4] for g in of.values() if 4 in g}
+    assert ends[4, 5][0] == 30 and sum(ends[4, 6]) == 190
+
+
 def test_every_window_has_an_anchor():
     rng = np.random.default_rng(4)
     first = np.array([0, 30, 31, 400, 449, 499, 600])
