@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+import regex
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,28 +22,64 @@ BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
+    """The folder that all executors share; one of our own only where none is set and all is one process, as in tests."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not regex.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: the executors need a folder that they all share")
         set_to = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+#: What materialise() wrote and nobody has deleted yet.
+_written: list[str] = []
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing that is still to run reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._shared_path)
+    if df._shared_path in _written:
+        _written.remove(df._shared_path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of what ended jobs left in the driver, so that Spark deletes their shuffle files before the next job needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete every table that the operators have written in this process, but those of `keep`.
+
+    A result is computed when it is read, so this is for when all results so far are stored elsewhere.
+    """
+    kept = {df._shared_path for df in keep}
+    for path in [p for p in _written if p not in kept]:
+        delete(spark, path)
+        _written.remove(path)
+
+
+def cut_rows(df: DataFrame, size: str, order: list[str], most: int) -> DataFrame:
+    """The first rows by `order` whose `size` adds up to at most `most`; for a bounded table only. Rows are whole, or not there."""
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    (total,) = private(df, "total")
+    return df.where(F.col(size) <= most).withColumn(total, F.sum(size).over(so_far)).where(F.col(total) <= most).drop(total)
 
 
 def private(df: DataFrame, *names: str) -> list[str]:
@@ -120,12 +159,33 @@ BLOCK = 1 << 18
 _powers = {"n": 0, "up": None, "down": None}
 
 _WORD = np.zeros(256, bool)
-_WORD[128:] = True
 for _lo, _hi in ((48, 57), (65, 90), (97, 122)):
     _WORD[_lo : _hi + 1] = True
 _WORD[95] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Characters of words; and those of scripts that put no space between words, each of which is a word.
+LETTERS = r"\p{Alphabetic}\p{M}\p{N}_\u200c\u200d"
+ALONE = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}"
+
+
+@cache
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 for none of a word, 1 for a letter, 2 for one that is a word alone; and the lower case of it.
+
+    A character whose lower case takes more or fewer bytes is its own.
+    """
+    every = "".join(map(chr, range(0x110000)))
+    kinds, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for m in regex.finditer(f"[{LETTERS}]+", every):
+        kinds[m.start() : m.end()] = 1
+    for m in regex.finditer(f"[{ALONE}]+", every):
+        kinds[m.start() : m.end()] *= 2
+    for m in regex.finditer(r"[\p{Lu}\p{Lt}]", every):
+        low = m[0].lower()
+        if len(low) == 1 and len(low.encode()) == len(m[0].encode()):
+            lower[m.start()] = ord(low)
+    return kinds, lower
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,27 +235,47 @@ def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = min(end, n)
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and for the Latin-1 letters in UTF-8; no byte moves."""
-    out = _LOWER[data]
-    if len(out) > 1:
-        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][capital] += 32
-    return out
+def _beyond(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number of bytes, code point) of each character beyond ASCII; data is UTF-8."""
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    code = (data[lead] & (0xFF >> (size + 1)).astype(np.uint8)).astype(np.uint32)
+    for i in range(1, 4):
+        more = size > i
+        code[more] = code[more] << np.uint32(6) | (data[lead[more] + i] & 0x3F)
+    return lead, size, code
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of every word, and for each text the index of its first word (one more entry).
 
-    A word is a run of letters, digits, underscores and bytes beyond ASCII.
+    A word is a run of letters, marks, digits and underscores, in lower case; a character of a script without spaces
+    between words (Chinese, Japanese, Thai and the like) is a word of its own.
     """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
     is_word = _WORD[data]
+    low = _LOWER[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
+    lead, size, code = _beyond(data)
+    if len(lead):
+        kinds, lower = _unicode()
+        kind = kinds[code]
+        for i in range(4):
+            is_word[lead[(kind > 0) & (size > i)] + i] = True
+        edge[lead[kind == 2]] = True
+        edge[(lead + size)[kind == 2]] = True
+        small = lower[code]
+        changed = np.flatnonzero(small != code)
+        at, left, bytes_of = lead[changed], small[changed], size[changed]
+        for i in range(3, 0, -1):
+            more = bytes_of > i
+            low[at[more] + i] = 0x80 | left[more] & 0x3F
+            left[more] >>= np.uint32(6)
+        low[at] = (0xF00 >> bytes_of & 0xFF).astype(np.uint8) | left.astype(np.uint8)
     before = np.empty(n, bool)
     before[0], before[1:] = False, is_word[:-1]
     after = np.empty(n, bool)
@@ -206,11 +286,11 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     while at < len(starts):  # in blocks that fit a cache; a hash doesn't depend on where its block begins
         base = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
-        low = lowered(data[base : ends[stop - 1]])
-        up, down = _power_tables(len(low) + 1)
-        total = np.zeros(len(low) + 1, np.uint64)
+        part = low[base : ends[stop - 1]]
+        up, down = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
             begin = starts[at:stop] - base
             h[at:stop] = mix((total[ends[at:stop] - base] - total[begin]) * down[begin])
         at = stop

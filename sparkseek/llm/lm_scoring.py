@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,22 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_groups, arrow_map, column, mapped, materialise, mix, private, pruned, slices, text_buffer, words
+from .base import arrow_groups, arrow_map, column, mapped, materialise, mix, private, pruned, release, settle, slices, text_buffer, words
 
 ORDER = 3
 #: Counts are held as powers of this base.
 BASE = 1.5
-#: n-grams of two or more words that are rarer aren't held; the words alone all are.
-MIN_COUNT = 2
 BITS_PER_EVENT = 12
 PROBES = 5
 #: Words whose n-grams a task counts before it sends them on.
 COUNT_WORDS = 1 << 21
-#: A larger filter isn't broadcast: the probes go to its parts instead.
-BROADCAST_BYTES = 128 << 20
-#: Weights of the orders in the mixture, from one word to ORDER words.
+#: The filter is broadcast if it can't be larger than this, whatever the texts are; else it stays in parts, and the
+#: n-grams that texts ask for go to the parts.
+BROADCAST_BYTES = 64 << 20
+#: A filter takes so many bytes for a byte of text at most: a word and what divides it from the next are two bytes, and
+#: each of a word's n-grams is an event at most, as a count is never below its level.
+FILTER_BYTES_OF_TEXT = ORDER * BITS_PER_EVENT / 8 / 2
+#: Bytes of text whose n-grams are asked for at once, and packed bytes of n-grams that a part of the filter gets, about.
+CHUNK = 6 << 20
+PART = 16 << 20
+#: Weights of the orders in the mixture, from one word to ORDER words, and what is taken off a count of several words,
+#: so that a run of words that has been seen once says less than one that has been seen twice.
 WEIGHTS = (0.1, 0.3, 0.6)
+DISCOUNT = 0.75
 _TAG = np.uint64(3)
+#: Keys have so many bits: of 10^13 n-grams, one in 7000 has the key of another.
+KEY_BITS = 56
 
 
 def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +47,11 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         key = np.full(len(last), np.uint64(n), np.uint64)
         for i in range(n - 1, -1, -1):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[last - i])
-    return last, (key & ~_TAG) | np.uint64(n - 1)
+    return last, (key >> np.uint64(64 - KEY_BITS) & ~_TAG) | np.uint64(n - 1)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -118,14 +127,25 @@ def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(gaps, dtype=np.uint64), out
 
 
+def _found(texts: pa.Array, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(index of each text's first word, (places, keys) of the n-grams of each order)."""
+    h, _, _, first = words(*text_buffer(texts))
+    return first, [ngrams(h, first, n) for n in range(1, order + 1)]
+
+
+def _sent(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+    """(buckets, packed distinct keys and counts of each); the keys go up from bucket to bucket."""
+    distinct, counts = np.unique(keys, return_counts=True)
+    cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    return some, [pack(distinct[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in some]
+
+
 def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
     """(bucket, keys, counts): the distinct n-grams of each few megabytes, by bucket, with how often they stand there."""
 
     def sent(keys: list[np.ndarray]) -> pa.RecordBatch:
-        distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
-        cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        packed = [pack(distinct[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in some]
+        some, packed = _sent(np.concatenate(keys), buckets)
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +153,10 @@ def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         size = 0
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
-                data, off = text_buffer(batch.column("text").slice(lo, hi - lo))
-                h, _, _, first = words(data, off)
-                for n in range(1, order + 1):
-                    held[n - 1].append(ngrams(h, first, n)[1])
-                size += len(h)
+                first, found = _found(batch.column("text").slice(lo, hi - lo), order)
+                for n in range(order):
+                    held[n].append(found[n][1])
+                size += int(first[-1])
                 if size >= COUNT_WORDS:
                     yield from map(sent, held)
                     held, size = [[] for _ in range(order)], 0
@@ -147,39 +166,40 @@ def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
     return arrow_map(docs, run, "bucket int, keys binary, counts binary")
 
 
-def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(k, c) for k, c in zip(keys, counts)]
-    k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts
+def _summed(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(k)
     k, c = k[order], c[order]
     begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     return k[begin], np.add.reduceat(c, begin) if len(k) else c
 
 
-def build(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def _joined(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(k, c) for k, c in zip(keys, counts)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets: int = 1) -> DataFrame:
     """(bucket, words, tokens, types), written to the shared folder: a part of the filter for each bucket of n-grams.
 
-    All n-grams of all texts are counted; tokens and types are the words of the bucket, with and without repetition.
+    All n-grams of all texts are counted and held; tokens and types are the words of the bucket, with and without
+    repetition.
     """
-    buckets = buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def part(table: pa.Table) -> pa.Table:
-        keys, counts = _summed(table.column("keys").to_pylist(), table.column("counts").to_pylist())
+        keys, counts = _summed(*_joined(table.column("keys").to_pylist(), table.column("counts").to_pylist()))
         single = keys & _TAG == 0
-        held = single | (counts >= min_count)
-        data = build_filter(keys[held], level_of(counts[held]))
+        data = build_filter(keys, level_of(counts))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.array([data.tobytes()], pa.binary()), "tokens": pa.array([int(counts[single].sum())]), "types": pa.array([int(single.sum())])})
 
     some = pruned(docs, text=text_col).where("text IS NOT NULL")
-    return materialise(arrow_groups(_counts(some, buckets, order).groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
+    return materialise(arrow_groups(_counts(some, buckets, order).repartition(buckets, "bucket").groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
 
 
-def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int, tokens: int, types: int, least: int) -> np.ndarray:
+def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int, tokens: int, types: int) -> np.ndarray:
     """Of each of n words: a mixture of its relative frequencies after 0, 1, ... words of context.
 
-    An n-gram of several words that is held has the level `least` at least, and both its (n-1)-grams are held, at least
-    as often; a level that contradicts this is a false hit of the filter, and is cut to what is possible.
+    The counts of several words are discounted. Both (n-1)-grams of an n-gram are held, at least as often; a level that
+    contradicts this is a false hit of the filter, and is cut to what is possible.
     """
     weights = np.array(WEIGHTS[: len(levels)]) / sum(WEIGHTS[: len(levels)])
     single = count_at(levels[0])
@@ -189,8 +209,8 @@ def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int,
         by_place = np.zeros(n)
         by_place[last[k - 1]] = shorter
         context = by_place[last[k] - 1]
-        shorter = np.minimum(count_at(np.where(levels[k] >= least, levels[k], 0)), np.minimum(context, by_place[last[k]]))
-        p[last[k]] += weights[k] * shorter / np.maximum(context, 1)
+        shorter = np.minimum(count_at(levels[k]), np.minimum(context, by_place[last[k]]))
+        p[last[k]] += weights[k] * np.maximum(shorter - DISCOUNT, 0) / np.maximum(context, 1)
     return np.log(p)
 
 
@@ -200,36 +220,43 @@ def _summary(first: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
     score = total[first[1:]] - total[first[:-1]]
     none = count == 0
     mean = score / np.maximum(count, 1)
-    return [pa.array(count, pa.int64()), pa.array(score, mask=none), pa.array(np.exp(np.minimum(-mean, 700)), mask=none)]
+    return [pa.array(count, pa.int64()), pa.array(mean, mask=none), pa.array(score, mask=none), pa.array(np.exp(np.minimum(-mean, 700)), mask=none)]
 
 
-NEW = ["n_words", "log_prob", "perplexity"]
+NEW = ["n_words", "log_prob", "total_log_prob", "perplexity"]
 
 
-def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
-    """The columns `keep` of docs (all by default), with n_words, log_prob (natural) and perplexity under docs' n-grams.
+def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES, part_bytes: int = PART) -> DataFrame:
+    """The columns `keep` of docs (all by default), with n_words, log_prob, total_log_prob and perplexity under docs' n-grams.
 
-    The model is counted over all texts of docs. The filter is broadcast if its size, known once it is written, is at
-    most broadcast_bytes; a larger one stays in its parts, and the probes are sent there and their answers back.
-    Either way gives the same scores. A filter never misses what it holds; it takes a word's count for a level higher in
-    about one case of fifty.
+    log_prob is the natural logarithm of a word's probability on average, total_log_prob that of the whole text, and
+    perplexity exp(-log_prob). The model is counted over all texts of docs, and holds all their n-grams. The filter is
+    broadcast if by the bytes of the texts it can't be larger than broadcast_bytes. Otherwise it stays in parts that
+    grow in number with the texts: the distinct n-grams of each few megabytes of text go to their parts with their
+    counts, which there make the filter and are then probed in it, and the levels go back. Either way gives the same
+    model; where the bits of the parts fall differs, and so which words a filter takes for a level higher (one in about
+    fifty; it never misses what it holds).
 
-    Null and empty texts and texts without words have 0 words and null scores. Repeated rows and null ids are scored
-    like any other, and counted. Columns of docs by the new names are replaced. An empty table gives an empty result.
+    order is 1 to ORDER. Null and empty texts and texts without words have 0 words and null scores. Repeated rows and
+    null ids are scored like any other, and counted. Columns of docs by the new names are replaced. An empty table
+    gives an empty result.
     """
+    if not 1 <= order <= ORDER:
+        raise ValueError(f"order is 1 to {ORDER}, not {order}")
     spark = docs.sparkSession
     kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in NEW]
     (source,) = private(docs, "source")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = build(docs, order, min_count, text_col, buckets)
-    size, tokens, types = parts.agg(F.sum(F.length("words")), F.sum("tokens"), F.sum("types")).first()
     chosen = docs.select(*[column(c) for c in kept], column(text_col).alias(source))
-    schema = docs.select(*[column(c) for c in kept], *[F.lit(None).cast(k).alias(c) for c, k in zip(NEW, ("bigint", "double", "double"))]).schema
-    least = int(level_of(np.array([max(1, min_count)]))[0])
-    if (size or 0) > broadcast_bytes:
-        return _scored_by_exchange(chosen, parts, buckets, order, tokens, types, least, schema)
-    got = {r["bucket"]: r["words"] for r in parts.select("bucket", "words").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(Filter([np.frombuffer(got.get(b, b""), np.uint64) for b in range(buckets)]))
+    schema = docs.select(*[column(c) for c in kept], *[F.lit(None).cast(k).alias(c) for c, k in zip(NEW, ("bigint", "double", "double", "double"))]).schema
+    size = docs.agg(F.sum(F.octet_length(column(text_col)).cast("bigint"))).first()[0] or 0
+    if size * FILTER_BYTES_OF_TEXT > broadcast_bytes:
+        return _scored_by_exchange(chosen, size, order, schema, part_bytes)
+    buckets = max(1, math.ceil(size / PART))
+    parts = build(docs, order, text_col, buckets)
+    got = {r["bucket"]: r for r in parts.toLocalIterator()}
+    release(parts)
+    tokens, types = (sum(r[c] for r in got.values()) for c in ("tokens", "types"))
+    shared = spark.sparkContext.broadcast(Filter([np.frombuffer(got[b]["words"] if b in got else b"", np.uint64) for b in range(buckets)]))
     del got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +264,12 @@ def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: lis
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for lo, hi in slices(texts):
-                data, off = text_buffer(texts.slice(lo, hi - lo))
-                h, _, _, first = words(data, off)
-                found = [ngrams(h, first, n) for n in range(1, order + 1)]
+                first, found = _found(texts.slice(lo, hi - lo), order)
                 levels = []
                 for _, keys in found:
                     distinct, inverse = np.unique(keys, return_inverse=True)
                     levels.append(held.levels(distinct)[inverse])
-                logs = _log_probabilities(levels, [last for last, _ in found], len(h), tokens, types, least)
+                logs = _log_probabilities(levels, [last for last, _ in found], int(first[-1]), tokens, types)
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], *_summary(first, logs)], names=[*kept, *NEW])
 
     return mapped(chosen, run, schema)
@@ -258,58 +283,83 @@ def _ipc(columns: list[pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _scored_by_exchange(chosen: DataFrame, parts: DataFrame, buckets: int, order: int, tokens: int, types: int, least: int, schema) -> DataFrame:
-    """Scores without a broadcast: each slice of texts sends its distinct keys to their buckets and gets levels back."""
+def _rows(blob: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks().columns
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.StructType, part_bytes: int) -> DataFrame:
+    """Scores without a broadcast; the last column of chosen is the text.
+
+    Texts are written in chunks first. A chunk sends its distinct keys, with counts, to their buckets: that is the
+    corpus count and the probes in one. A bucket sums the counts, makes its part of the filter, and answers each
+    chunk's keys with their levels. Buckets and chunks are of bounded size, and their numbers grow with the texts.
+    """
+    buckets = max(1, math.ceil(size * 1.7 / part_bytes))  # a byte of text makes about that many of packed keys
+    names = [f"c{i}" for i in range(len(chosen.columns))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo, hi in slices(texts):
-                data, off = text_buffer(texts.slice(lo, hi - lo))
-                h, _, _, first = words(data, off)
-                found = [ngrams(h, first, n) for n in range(1, order + 1)]
-                keys, inverse = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
-                cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                name = task << 32 | at
+            for lo, hi in slices(batch.column(batch.num_columns - 1), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | at], pa.int64()), pa.array([_ipc([c.slice(lo, hi - lo) for c in batch.columns])], pa.binary())], names=["chunk", "rows"])
                 at += 1
-                text = _ipc([c.slice(lo, hi - lo) for c in batch.columns[:-1]]) if batch.num_columns > 1 else b""
-                own = pickle.dumps((first, inverse.astype(np.uint32), [last.astype(np.uint32) for last, _ in found], hi - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * (len(some) + 1), pa.int64()),
-                        pa.array([*some.tolist(), -1], pa.int32()),
-                        pa.array([*[keys[cuts[b] : cuts[b + 1]].tobytes() for b in some], own], pa.binary()),
-                        pa.array([*[None] * len(some), text], pa.binary()),
-                    ],
-                    names=["slice", "bucket", "asked", "rest"],
-                )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for asked, data in zip(b.column("asked").to_pylist(), b.column("words").to_pylist()):
-                # a filter of one part, whose bucket every key is in
-                out.append(Filter([np.frombuffer(data, np.uint64)]).levels(np.frombuffer(asked, np.uint64)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("slice"), b.column("bucket"), pa.array(out, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["slice", "bucket", "asked", "rest"])
-
-    plain = schema.names[: -len(NEW)]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist()):
+                _, found = _found(_rows(blob)[-1], order)
+                keys = np.concatenate([k for _, k in found])
+                del found
+                some, packed = _sent(keys, buckets)
+                del keys
+                for i in range(0, len(some), 64):
+                    part = packed[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(some[i : i + 64].astype(np.int32)), pa.array([k for k, _ in part], pa.binary()), pa.array([c for _, c in part], pa.binary())], names=["chunk", "bucket", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """The levels of each chunk's keys; for the bucket itself (chunk null), how many words it has, and distinct ones."""
+        asked = table.column("keys").to_pylist()
+        keys, counts = _joined(asked, table.column("counts").to_pylist())
+        chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        del table
+        distinct, total = _summed(keys, counts)
+        single = distinct & _TAG == 0
+        tokens, types = int(total[single].sum()), int(single.sum())
+        part = Filter([build_filter(distinct, level_of(total))])  # a filter of one part, whose bucket every key is in
+        levels = part.levels(distinct).astype(np.uint8)
+        del total, single, part
+        cuts, out = np.cumsum([0, *[len(a) // 8 for a in asked]]), []
+        for lo, hi in zip(cuts, cuts[1:]):
+            out.append(levels[np.searchsorted(distinct, keys[lo:hi])].tobytes())
+        return pa.table(
+            {
+                "chunk": pa.array([*chunks, None], pa.int64()),
+                "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()),
+                "data": pa.array([*out, None], pa.binary()),
+                "tokens": pa.array([None] * len(chunks) + [tokens], pa.int64()),
+                "types": pa.array([None] * len(chunks) + [types], pa.int64()),
+            }
+        )
+
+    own = materialise(arrow_map(chosen.toDF(*names), cut, "chunk bigint, rows binary"), "chunks", "zstd")
+    asked = arrow_map(own, ask, "chunk bigint, bucket int, keys binary, counts binary").repartition(buckets, "bucket").groupBy("bucket")
+    levels = materialise(arrow_groups(asked, answer, "chunk bigint, bucket int, data binary, tokens bigint, types bigint"), "levels", "zstd")
+    del asked
+    settle(own.sparkSession)  # the n-grams that were exchanged aren't needed any more
+    tokens, types = (x or 0 for x in levels.agg(F.sum("tokens"), F.sum("types")).first())
 
     def join(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("asked").to_pylist(), table.column("rest").to_pylist()), key=lambda r: r[0])
-        first, inverse, last, n_rows = pickle.loads(rows[0][1])
-        levels = np.frombuffer(b"".join(r[1] for r in rows[1:]), np.uint8).astype(np.int64)[inverse]
-        each, at = [], 0
-        for places in last:
-            each.append(levels[at : at + len(places)])
-            at += len(places)
-        logs = _log_probabilities(each, [p.astype(np.int64) for p in last], int(first[-1]), tokens, types, least)
-        kept = pa.ipc.open_stream(rows[0][2]).read_all().combine_chunks().columns if rows[0][2] else []
-        return pa.table([*kept, *_summary(first, logs)], names=[f"c{i}" for i in range(len(plain) + len(NEW))])
-
-    kind = "slice bigint, bucket int, asked binary, rest binary"
-    sent = materialise(arrow_map(chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))]), ask, kind), "probes")
-    back = arrow_map(sent.where("bucket >= 0").drop("rest").join(parts.select("bucket", "words"), "bucket"), answer, kind)
+        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()))
+        del table
+        columns = _rows(rows[0][1])
+        first, found = _found(columns[-1], order)
+        _, inverse = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
+        flat = np.frombuffer(b"".join(r[1] for r in rows[1:]), np.uint8)[inverse]
+        del inverse
+        each = np.split(flat.astype(np.int64), np.cumsum([len(k) for _, k in found])[:-1])
+        logs = _log_probabilities(each, [last for last, _ in found], int(first[-1]), tokens, types)
+        return pa.table([*columns[:-1], *_summary(first, logs)], names=[f"c{i}" for i in range(len(schema))])
+
     out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
-    return arrow_groups(sent.where("bucket < 0").union(back).groupBy("slice"), join, out).toDF(*schema.names)
+    both = own.select("chunk", F.lit(-1).alias("bucket"), F.col("rows").alias("data")).union(levels.where("chunk IS NOT NULL").select("chunk", "bucket", "data"))
+    return arrow_groups(both.repartition(max(1, math.ceil(size / CHUNK)), "chunk").groupBy("chunk"), join, out).toDF(*schema.names)

@@ -16,11 +16,13 @@ BITS = 256
 RADIUS = 50
 #: Documents are compared if one of this many least hashes of their shingles is the same, for shingles of so many words.
 KEYS = 10
-SHINGLE = 5
+SHINGLE = 4
 #: Bit planes between two looks at which blocks can be abandoned.
 STRIDE = 16
-#: Within a set of more documents that share a key, those already joined aren't compared with each other.
-LARGE = 2048
+#: A set of more documents that share a key is cut into tiles of about so many, and every two tiles are a task's work.
+TILE = 1024
+#: Rows of sets that a task compares, about.
+TASK_ROWS = 20_000
 _ODD = (mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -176,38 +178,8 @@ def pairs_of_sets(prints: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, m
     return np.concatenate(left), np.concatenate(right)
 
 
-def links_of_set(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same documents as all pairs would: one joined already isn't compared again with those before.
-
-    Breadth-first: each document reached is compared with those not reached yet, so a set of near copies takes a few
-    rounds, whatever its size, and a set of strangers takes every comparison once.
-    """
-    planes, n = slice_planes(prints), len(prints)
-    free = lanes_of(np.zeros(planes.shape[1], np.int64), np.full(planes.shape[1], n), np.arange(planes.shape[1]))
-    left, right = [], []
-    for seed in range(n):
-        if not int(free[seed // 64]) >> (seed % 64) & 1:
-            continue
-        free[seed // 64] &= ~(np.uint64(1) << np.uint64(seed % 64))
-        queue = [seed]
-        while queue:
-            q = queue.pop()
-            w = np.flatnonzero(free)
-            if not len(w):
-                break
-            hit = within_radius(planes, prints, np.full(len(w), q), w, free[w], radius)
-            free[w] &= ~hit
-            some = np.flatnonzero(hit)
-            i, lane = np.nonzero(np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            found = w[some[i]] * 64 + lane
-            left.append(np.full(len(found), q))
-            right.append(found)
-            queue.extend(found.tolist())
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """One link for each position but the least of each group that the pairs join, however many pairs there are."""
+def labels(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n positions the least of those that the pairs join it with."""
     label = np.arange(n)
     while True:
         least = np.minimum(label[left], label[right])
@@ -216,8 +188,13 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.
         np.minimum.at(new, right, least)
         new = np.minimum(new, new[new])
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each position but the least of each group that the pairs join, however many pairs there are."""
+    label = labels(left, right, n)
     moved = np.flatnonzero(label != np.arange(n))
     return label[moved], moved
 
@@ -239,57 +216,88 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(some, run, f"id {some.schema['id'].dataType.simpleString()}, print binary, keys array<bigint>")
 
 
+def links_of_sets(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same documents as all near pairs of each set would; tile tells which of two tiles a row is of.
+
+    Within a set of one tile these are a spanning forest. Of a set of two tiles it is what joins the trees of one tile
+    with those of the other, as either tile has a task that sends its own forest.
+    """
+    ends = np.cumsum(sizes)
+    left, right = [], []
+    cuts = np.unique(np.searchsorted(np.cumsum(sizes**2), np.arange(0, int((sizes**2).sum()) + 1, 1 << 22), side="left"))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(sizes))):
+        if lo == hi:
+            continue
+        at = ends[lo] - sizes[lo]
+        own = slice(at, ends[hi - 1])
+        i, j = pairs_of_sets(prints[own], sizes[lo:hi], radius)
+        if not len(i):
+            continue
+        side = tile[own]
+        within = side[i] == side[j]
+        label = labels(i[within], j[within], ends[hi - 1] - at)
+        crossing = np.unique(label[i[~within]] << np.int64(32) | label[j[~within]])
+        a, b = forest(crossing >> np.int64(32), crossing & np.int64(0xFFFFFFFF), len(label))
+        two = np.repeat(np.maximum.reduceat(side, ends[lo:hi] - sizes[lo:hi] - at) != np.minimum.reduceat(side, ends[lo:hi] - sizes[lo:hi] - at), sizes[lo:hi])
+        moved = np.flatnonzero((label != np.arange(len(label))) & ~two)
+        left += [a + at, label[moved] + at]
+        right += [b + at, moved + at]
+    whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return whole(left), whole(right)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in, links out. The rows of the last key of a batch wait for the next one."""
+    """Rows sorted by set (key, a, b) in, links out. The rows of the last set of a batch wait for the next one; a set is
+    of two tiles at most, and so of bounded size."""
     rest = None
 
-    def links(table: pa.RecordBatch) -> pa.RecordBatch:
-        key = table.column("key").to_numpy()
-        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(key), -1)
-        sizes = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-        begin = np.cumsum(sizes) - sizes
-        left, right = [], []
-        small = np.flatnonzero((sizes > 1) & (sizes <= LARGE))
-        if len(small):
-            rows = np.concatenate([np.arange(begin[s], begin[s] + sizes[s]) for s in small])
-            i, j = pairs_of_sets(prints[rows], sizes[small], radius)
-            left.append(rows[i])
-            right.append(rows[j])
-        for s in np.flatnonzero(sizes > LARGE):
-            i, j = links_of_set(prints[begin[s] : begin[s] + sizes[s]], radius)
-            left.append(begin[s] + i)
-            right.append(begin[s] + j)
-        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        a, b = forest(whole(left), whole(right), len(key))
-        ids = table.column("id")
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+    def begins(batch: pa.RecordBatch) -> np.ndarray:
+        of = [batch.column(c).to_numpy() for c in ("key", "a", "b")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in of])
+        return np.flatnonzero(new)
+
+    def links(batch: pa.RecordBatch, begin: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(begin, batch.num_rows))
+        prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        some = np.repeat(sizes > 1, sizes)
+        rows = np.flatnonzero(some)
+        a, b = links_of_sets(prints[some], sizes[sizes > 1], batch.column("tile").to_numpy()[some], radius)
+        ids = batch.column("id")
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows[a])), ids.take(pa.array(rows[b]))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if rest is not None:
             batch = pa.concat_batches([rest, batch])
-        key = batch.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        rest = batch.slice(cut)
-        if cut:
-            yield links(batch.slice(0, cut))
+        begin = begins(batch)
+        rest = batch.slice(begin[-1])
+        if len(begin) > 1:
+            yield links(batch.slice(0, begin[-1]), begin[:-1])
     if rest is not None:
-        yield links(rest)
+        yield links(rest, np.zeros(1, np.int64))
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(a, b): links between near copies, which join just the documents that all near pairs found would join.
 
-    Documents of the same fingerprint are linked with the smallest of them, which alone is compared with others.
+    Documents of the same fingerprint are linked with the smallest of them, which alone is compared with others. A set
+    of documents that share a key isn't one task's work if it is large: its rows fall into tiles by a hash of the
+    fingerprint, and each pair of tiles goes to a task of its own.
     """
     sketch = materialise(_sketch(docs, id_col, text_col), "simhash")
     kind = sketch.schema["id"].dataType.simpleString()
     least = sketch.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("print", "a")
     same = sketch.select("print", F.col("id").alias("b")).join(least, "print").where("a <> b").select("a", "b")
     distinct = sketch.groupBy("print", "keys").agg(F.min("id").alias("id"))
-    by_key = distinct.select("print", "id", F.explode("keys").alias("key")).repartition("key").groupBy("key", "print").agg(F.min("id").alias("id")).select("key", "id", "print")
-    near = arrow_map(by_key.sortWithinPartitions("key"), lambda b: _compare(b, radius), f"a {kind}, b {kind}")
+    keyed = materialise(distinct.select("print", "id", F.explode("keys").alias("key")).groupBy("key", "print").agg(F.min("id").alias("id")), "keys")
+    sets = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    several = keyed.join(sets, "key").withColumn("tile", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
+    other = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    paired = other.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "print")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // TASK_ROWS))
+    near = arrow_map(paired.repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b"), lambda b: _compare(b, radius), f"a {kind}, b {kind}")
     return same.union(near)
 
 

@@ -13,6 +13,8 @@ from .base import arrow_map, materialise, mix, _power_tables, pruned, slices, te
 
 #: Words that a passage must have at least to count as a repeat.
 MIN_WORDS = 50
+#: Runs whose anchor has more places are counted with a combine before the exchange, and not in one task's window.
+HOT = 1 << 16
 
 
 def anchor_words(min_words: int) -> int:
@@ -33,6 +35,20 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def again(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words, for the second half of 128 bits."""
+    return mix(h ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def of_all(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each begin to end - 1."""
+    up, down = _power_tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * up[: len(h)], out=total[1:])
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B1))
+
+
 def sliding(a: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of each a[i : i + w], in log w passes; shorter near the end."""
     out, have = a.copy(), 1
@@ -65,8 +81,9 @@ def _places(data: np.ndarray) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
-    """(hash, id, place, extent): an anchor has its place; a whole text of min_words words or more has place -1 - words,
-    and in extent the first character of its first word and the last of its last."""
+    """(hash, check, id, of, place, extent): an anchor has its place, and check 0, as it is but a candidate; a whole text
+    of min_words words or more has place -1 - words, the second half of 128 bits in check, and in extent the first
+    character of its first word and the last of its last. `of` tells the texts of an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,32 +95,32 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 place, key = winnow(h, first, min_words)
                 doc = np.searchsorted(first, place, side="right") - 1
                 whole = np.flatnonzero(count >= min_words)
-                up, down = _power_tables(len(h) + 1)
-                total = np.zeros(len(h) + 1, np.uint64)
-                with np.errstate(over="ignore"):
-                    np.cumsum(h * up[: len(h)], out=total[1:])
-                    own = mix((total[first[whole + 1]] - total[first[whole]]) * down[first[whole]] + count[whole].astype(np.uint64) * np.uint64(0x9E3779B1))
+                own = of_all(h, first[:-1], first[1:]).view(np.int64)
                 chars = _places(data)
                 a, b = chars[start[first[whole]]] - chars[off[whole]], chars[end[first[whole + 1] - 1]] - chars[off[whole]]
+                every = np.concatenate([doc, whole])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([key, own]).view(np.int64)),
-                        ids.take(pa.array(np.concatenate([doc, whole]))),
+                        pa.array(np.concatenate([key.view(np.int64), own[whole]])),
+                        pa.array(np.concatenate([np.zeros(len(key), np.int64), of_all(again(h), first[whole], first[whole + 1]).view(np.int64)])),
+                        ids.take(pa.array(every)),
+                        pa.array((own[every] >> 33).astype(np.int32)),
                         pa.array(np.concatenate([place - first[doc], -1 - count[whole]]).astype(np.int32)),
                         pa.array(np.concatenate([np.zeros(len(key), np.int64), a << 32 | b])),
                     ],
-                    names=["hash", "id", "place", "extent"],
+                    names=["hash", "check", "id", "of", "place", "extent"],
                 )
 
-    return arrow_map(docs, run, f"hash bigint, id {docs.schema['id'].dataType.simpleString()}, place int, extent bigint")
+    return arrow_map(docs, run, f"hash bigint, check bigint, id {docs.schema['id'].dataType.simpleString()}, of int, place int, extent bigint")
 
 
-def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
-    """(hash, id, head, tail) of every passage of min_words words around a seed: as far left and right as holds it.
+def _extended(seeded: DataFrame, min_words: int, hot: bool) -> DataFrame:
+    """(hash, check, id, head, tail) of every passage of min_words words around a seed: as far left and right as holds it.
 
-    head is the passage's first word and first character, tail a hash of the text and the passage's last character.
+    head is the passage's first word and first character, tail its text and last character. Only passages whose least
+    anchor is hot, or those whose isn't: equal passages have the same anchor.
     """
-    reach = min_words - anchor_words(min_words)
+    k = anchor_words(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,41 +130,44 @@ def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
                 data, off = text_buffer(part.column("text"))
                 h, start, end, first = words(data, off)
                 n = len(h)
+                own = of_all(h, first[:-1], first[1:]).view(np.int64) >> 33
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                seeds_off = np.asarray(seeds.offsets.to_numpy())
-                at = first[np.repeat(np.arange(len(seeds)), np.diff(seeds_off))] + seeds.flatten().to_numpy()
-                of = np.repeat(np.arange(len(seeds)), np.diff(seeds_off))
-                fits = at < first[of + 1]
-                at, of = at[fits], of[fits]
+                of, places = np.repeat(np.arange(len(seeds)), np.diff(np.asarray(seeds.offsets.to_numpy()))), seeds.flatten().to_numpy()
+                right = own[of] == part.column("of").to_numpy()[of]
+                of, places = of[right], places[right]
+                at = first[of] + (places >> 1)
                 change = np.zeros(n + 1, np.int64)
-                np.add.at(change, np.maximum(at - reach, first[of]), 1)
+                np.add.at(change, np.maximum(at - (min_words - k), first[of]), 1)
                 np.add.at(change, at + 1, -1)
                 near = np.cumsum(change[:n]) > 0
                 begin = np.flatnonzero(near & (np.arange(n) + min_words <= first[doc + 1]))
-                key = rolling(h, min_words)[begin]
+                is_hot = np.zeros(len(begin), bool)
+                if (places & 1).any():
+                    grams = rolling(h, k)
+                    is_hot = np.isin(sliding(grams, min_words - k + 1, np.minimum)[begin], grams[at[(places & 1) == 1]])
+                begin = begin[is_hot == hot]
+                key, check = rolling(h, min_words)[begin], rolling(again(h), min_words)[begin]
                 chars = _places(data)
-                own = doc[begin]
-                head = (begin - first[own]) << 32 | (chars[start[begin]] - chars[off[own]])
-                sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(h, out=sums[1:])
-                of_text = (mix(sums[first[1:]] - sums[first[:-1]]) >> np.uint64(33)).astype(np.int64)
-                tail = of_text[own] << 32 | (chars[end[begin + min_words - 1]] - chars[off[own]])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(own)), pa.array(head), pa.array(tail)], names=["hash", "id", "head", "tail"])
+                d = doc[begin]
+                head = (begin - first[d]) << 32 | (chars[start[begin]] - chars[off[d]])
+                tail = own[d] << 32 | (chars[end[begin + min_words - 1]] - chars[off[d]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), ids.take(pa.array(d)), pa.array(head), pa.array(tail)], names=["hash", "check", "id", "head", "tail"])
 
-    return arrow_map(seeded, run, f"hash bigint, id {seeded.schema['id'].dataType.simpleString()}, head bigint, tail bigint")
+    return arrow_map(seeded, run, f"hash bigint, check bigint, id {seeded.schema['id'].dataType.simpleString()}, head bigint, tail bigint")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose hash several ids have, with the smallest and largest of those ids."""
-    by = Window.partitionBy("hash")
-    return rows.withColumns({"lo": F.min("id").over(by), "hi": F.max("id").over(by)}).where("lo <> hi")
+def _by_window(rows: DataFrame) -> DataFrame:
+    """Rows whose run several ids have, with lo and hi, the smallest and largest of them, and group, a hash of their set."""
+    by = Window.partitionBy("hash", "check")
+    several = rows.withColumns({"lo": F.min("id").over(by), "hi": F.max("id").over(by)}).where("lo <> hi")
+    once = F.when(F.lag("id").over(by.orderBy("id")) == F.col("id"), 0).otherwise(F.xxhash64("id"))
+    return several.withColumn("once", once).withColumn("group", F.expr("bit_xor(once)").over(by)).drop("once")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with group: a hash of the set of ids that have the row's hash."""
-    by = Window.partitionBy("hash")
-    once = F.when(F.lag("id").over(by.orderBy("id")) == F.col("id"), 0).otherwise(F.xxhash64("id"))
-    return rows.withColumn("once", once).withColumn("group", F.expr("bit_xor(once)").over(by)).drop("once")
+def _by_combining(rows: DataFrame) -> DataFrame:
+    """The same, for runs that so many documents share that no task can hold them."""
+    known = rows.select("hash", "check", "id").distinct().groupBy("hash", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("group"))
+    return rows.join(known.where("lo <> hi"), ["hash", "check"])
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,21 +189,28 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     Seeds are the anchors (winnowed runs of about half min_words words, one at least in every min_words words) that
     documents of two ids share, joined by hash. Each is extended both ways; what others share at full length stays, and
     what overlaps by all but a word is one passage. All partners count, without a pair for each. Texts with the same
-    words throughout are one whole repeat each, and one of them stands for all.
+    words throughout are one whole repeat each, and one of them stands for all. Runs are equal if 128 bits of hashes
+    are: among 10^14 runs, a false match has a chance of about 10^-11.
 
     Null texts, texts of fewer words and rows with a null id have no repeats. Rows that repeat an id are one document,
     which isn't its own partner; identical ones give one result. Other columns don't matter. An empty table gives an
-    empty result. Equality is that of 64-bit hashes.
+    empty result.
     """
     some = pruned(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
-    shared = materialise(_shared(_anchors(some, min_words)), "anchors")
+    anchors = _anchors(some, min_words)
+    known = anchors.groupBy("hash", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count("*") > HOT).alias("hot")).where("lo <> hi")
+    shared = materialise(anchors.join(known, ["hash", "check"]), "anchors")
     partner = F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo"))
     whole = shared.where("place < 0")
-    seeds = shared.where("place >= 0").join(whole.where("id <> lo").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_set("place").alias("seeds"))
-    found = _grouped(_shared(_extended(some.join(seeds, "id").select("id", "text", "seeds"), min_words)))
+    place = F.shiftleft("place", 1) + F.col("hot").cast("int")
+    seeds = shared.where("place >= 0").join(whole.where("id <> lo").select("id", "of"), ["id", "of"], "left_anti").groupBy("id", "of").agg(F.collect_set(place).alias("seeds"), F.max("hot").alias("hot"))
+    seeded = lambda these: some.join(these, "id").select("id", "text", "of", "seeds")
+    found = _by_window(_extended(seeded(seeds), min_words, False))
+    if not shared.where("place >= 0 AND hot").isEmpty():
+        found = found.unionByName(_by_combining(_extended(seeded(seeds.where("hot")), min_words, True)))
     split = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     (word, begin), (of, end) = split("head"), split("tail")
-    each = found.select("id", of.alias("of"), word.alias("word"), begin.alias("begin"), end.alias("end"), partner.alias("partner"), "group")
+    each = found.select("id", of.cast("int").alias("of"), word.alias("word"), begin.alias("begin"), end.alias("end"), partner.alias("partner"), "group")
     in_text = Window.partitionBy("id", "of").orderBy("word")
     ahead = each.withColumn("new", F.when(F.col("word") - F.lag("word").over(in_text) <= 1, 0).otherwise(1)).withColumn("turn", F.when((F.col("new") == 0) & (F.col("group") == F.lag("group").over(in_text)), 0).otherwise(1))
     so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)
@@ -192,13 +219,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     pieces = runs.groupBy("id", "of", "run", "piece", "group").agg(F.min("word").alias("a"), F.max("word").alias("b"), *own)
     piece = F.struct(F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), "group")
     passages = pieces.groupBy("id", "of", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), *own, F.array_sort(F.collect_list(piece)).alias("pieces"))
-    parts = passages.join(whole.select("id").distinct(), "id", "left_anti").select(
+    parts = passages.join(whole.select("id", "of").distinct(), ["id", "of"], "left_anti").select(
         "id", F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), F.col("begin").alias("start_char"), F.col("end").alias("end_char"), "partner", "pieces"
     )
     copies = whole.select(
-        "id", F.lit(0).cast("bigint").alias("start_word"), (-1 - F.col("place")).cast("bigint").alias("n_words"), split("extent")[0].alias("start_char"), split("extent")[1].alias("end_char"), partner.alias("partner"), "hash"
-    ).groupBy("id", "start_word", "n_words", "start_char", "end_char").agg(F.min("partner").alias("partner"), F.min("hash").alias("hash"))
-    within = passages.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+        "id", "of", F.lit(0).cast("bigint").alias("start_word"), (-1 - F.col("place")).cast("bigint").alias("n_words"), split("extent")[0].alias("start_char"), split("extent")[1].alias("end_char"), partner.alias("partner"), "hash"
+    ).groupBy("id", "of", "start_word", "n_words", "start_char", "end_char").agg(F.min("partner").alias("partner"), F.min("hash").alias("hash"))
+    within = passages.groupBy("id", "of").agg(F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"))
     all_of_it = F.struct("start_word", "n_words", F.col("hash").alias("group"))
-    copies = copies.join(within, "id", "left").withColumn("pieces", F.concat(F.array(all_of_it), F.coalesce("pieces", F.array().cast(within.schema["pieces"].dataType)))).drop("hash")
+    copies = copies.join(within, ["id", "of"], "left").withColumn("pieces", F.concat(F.array(all_of_it), F.coalesce("pieces", F.array().cast(within.schema["pieces"].dataType)))).drop("hash", "of")
     return parts.union(copies).withColumnRenamed("id", id_col)

@@ -1,17 +1,19 @@
 """Documents with everything that can be odd, and slow but plain versions of what operators do."""
 
-import re
 from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[0-9A-Za-z_\u0080-\U0010ffff]+")
+ALONE = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}"
+LETTERS = r"\p{Alphabetic}\p{M}\p{N}_\u200c\u200d"
+WORD = regex.compile(f"[{ALONE}&&[{LETTERS}]]|(?:(?![{ALONE}])[{LETTERS}])+", regex.V1)
 #: Names that operators use inside, or that differ from those in case alone.
 CLASHING = ["id", "key", "hash", "value", "digest", "seeds", "n", "rank", "seed", "print", "component", "node", "k", "g", "row", "lost", "__source", "__lost", "__digest", "__k", "a.b", "place", "rate", "score"]
 
 
 def lower(text):
-    return "".join(c.lower() if c < "\x80" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in text)
+    return "".join(c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else c for c in text)
 
 
 def words(text):

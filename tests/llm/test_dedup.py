@@ -30,8 +30,18 @@ def test_carry_save_counters_find_what_counting_finds():
             expected |= {(a + begin, b + begin) for a, b in near_pairs(prints[begin : begin + s], radius)}
             begin += s
         assert set(zip(i.tolist(), j.tolist())) == expected
-        a, b = simhash.links_of_set(prints, radius)
-        assert connected(range(400), zip(a.tolist(), b.tolist())) == connected(range(400), near_pairs(prints, radius))
+        for side in (np.zeros(400, np.int64), rng.integers(0, 2, 400)):
+            a, b = simhash.links_of_sets(prints, sizes, side, radius)
+            if side.any():  # each tile sends its own
+                begin = 0
+                for s in sizes:
+                    for t in (0, 1):
+                        if not len(own := begin + np.flatnonzero(side[begin : begin + s] == t)):
+                            continue
+                        x, y = simhash.links_of_sets(prints[own], np.array([len(own)]), np.zeros(len(own), np.int64), radius)
+                        a, b = np.append(a, own[x]), np.append(b, own[y])
+                    begin += s
+            assert connected(range(400), zip(a.tolist(), b.tolist())) == connected(range(400), expected)
 
 
 def test_bit_sliced_sums_give_the_majority():
@@ -45,7 +55,8 @@ def test_bit_sliced_sums_give_the_majority():
         at += n
 
 
-def test_near_groups_against_all_pairs(docs):
+def test_near_groups_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
     import pyarrow as pa
 
@@ -54,7 +65,7 @@ def test_near_groups_against_all_pairs(docs):
     pairs = [(rows[some[a]]["doc_id"], rows[some[b]]["doc_id"]) for a, b in near_pairs(prints[some], simhash.RADIUS)]
     group = {r["node"]: r["component"] for r in simhash.near_groups(docs).collect()}
     found = [p for p in pairs if group.get(p[0], p[0]) == group.get(p[1], p[1])]
-    assert len(pairs) > 5 and len(found) >= 0.9 * len(pairs)
+    assert len(pairs) > 50 and len(found) >= 0.99 * len(pairs)
     every = connected([r["doc_id"] for r in rows], pairs)
     assert all(every[n] == every[c] for n, c in group.items()), "no one is joined with who isn't near"
     assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == {r["doc_id"] for r in rows if group.get(r["doc_id"], r["doc_id"]) == r["doc_id"]}
@@ -72,12 +83,18 @@ def test_edited_copies_are_found_and_strangers_stay(spark):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == list(range(40))
 
 
-def test_large_sets_take_few_comparisons_and_give_the_same_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LARGE", 4)
+def test_large_sets_are_cut_into_tiles_and_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
     words = prose(5, 150).split()
     rows = [(i, " ".join([*words[: i % 100], f"w{i}", *words[i % 100 :]])) for i in range(60)]
+    rows += [(1000 + i, " ".join([*words[:20], *prose(i, 100).split()])) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert [r["doc_id"] for r in simhash.near_dedup(docs).collect()] == [0]
+    import pyarrow as pa
+
+    prints, _, _ = simhash.fingerprints(pa.array([t for _, t in rows]))
+    expected = connected(range(len(rows)), near_pairs(prints, simhash.RADIUS))
+    assert sum(g == 0 for g in expected.values()) == 60 and len(set(expected.values())) > 20
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == sorted(rows[g][0] for g in set(expected.values()))
 
 
 def test_components(spark):
@@ -115,14 +132,52 @@ def test_shared_lines(spark):
     assert out[9]["text"] == "own 9\nrare"
 
 
-@pytest.mark.parametrize("least", [50, 12, 7])
-def test_passages_against_all_windows(spark, docs, least):
+def test_words_of_other_scripts():
+    import pyarrow as pa
+
+    from .common import lower, words
+
+    texts = ["МИР мир", "beta—gamma", "日本語。中文 字x", "Straße ÀÉ Œœ É", "हिन्दी भाषा", "", "a", "İx ẞß Ωω 한국어", "ไทย x", "_a1 b😀c", "A\u0301e", "ﬁ Ǆǆ Ⅷ ½", "x" * 70_000 + " Ж" * 70_000]
+    data, off = base.text_buffer(pa.array(texts))
+    h, start, end, first = base.words(data, off)
+    of = {}
+    for i, t in enumerate(texts):
+        own = words(t)
+        assert [data[a:b].tobytes().decode() for a, b in zip(start[first[i] : first[i + 1]], end[first[i] : first[i + 1]])] == [t[a:b] for _, a, b in own]
+        for w, x in zip(own, h[first[i] : first[i + 1]].tolist()):
+            assert of.setdefault(w[0], x) == x, "the same word in lower case has the same hash"
+    assert len(set(of.values())) == len(of)
+
+
+def test_passages_of_other_scripts(spark):
+    rng = np.random.default_rng(9)
+    han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 120))
+    cyrillic = " ".join("".join(chr(c) for c in rng.integers(0x430, 0x450, 5)) for _ in range(60))
+    rows = [(1, f"前書き。{han[:60]}。{han[60:]} one"), (2, f"two — {han}"), (3, f"a—{cyrillic}—b"), (4, f"c {cyrillic.upper()} d"), (5, "x")]
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: r["n_words"] for i, r in got.items()} == {1: 120, 2: 120, 3: 60, 4: 60}
+    assert {i: r["partner"] for i, r in got.items()} == {1: 2, 2: 1, 3: 4, 4: 3}
+
+
+def test_ids_with_several_texts_keep_their_passages(spark):
+    one, two = prose(701, 80), prose(702, 80)
+    rows = [(1, one), (2, one), (2, f"{two} {prose(703, 20)}"), (3, f"{prose(704, 20)} {two}"), (3, f"{prose(704, 20)} {two}")]
+    got = {(r["doc_id"], r["start_word"], r["n_words"], r["partner"]) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 0, 80, 2), (2, 0, 80, 1), (2, 0, 80, 3), (3, 20, 80, 2)}
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+@pytest.mark.parametrize("least", [50, 7])
+def test_passages_against_all_windows(spark, docs, least, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {tuple(r)[:5] for r in substring_dedup.repeats(docs, least).collect()}
     assert got == repeated_passages(texts, least) and got
 
 
-def test_pieces_tell_all_partners_and_where_they_change(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_pieces_tell_all_partners_and_where_they_change(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     one, two, three = (prose(i, 80) for i in (501, 502, 503))
     alone = lambda i: prose(600 + i, 30)
     texts = {1: f"{alone(1)} {one} {alone(2)}", 2: f"{alone(3)} {one} {alone(4)}", 3: f"{alone(5)} {one} {alone(6)}", 4: f"{alone(7)} {two} {three}", 5: f"{alone(8)} {two} {alone(9)}", 6: f"{alone(10)} {three} {alone(11)}"}

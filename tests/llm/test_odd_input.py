@@ -81,7 +81,7 @@ def test_lm_scoring(docs, nothing):
         assert [c for c in out.columns if c not in lm_scoring.NEW] == docs.columns
         assert ids(out) == ALL
         for r in out.collect():
-            assert (r["log_prob"] is None) == (r["n_words"] == 0)
+            assert (r["log_prob"] is None) == (r["n_words"] == 0) == (r["total_log_prob"] is None)
         rows = {r["doc_id"]: r["n_words"] for r in out.where("doc_id is not null").collect()}
         assert rows[5] == rows[3] == rows[10] == 0 and rows[9] == 1 and rows[7] == 40_000
         assert lm_scoring.score(nothing, broadcast_bytes=limit).collect() == []
