@@ -28,18 +28,23 @@ BROADCAST_BYTES = 64 << 20
 #: each of a word's n-grams is an event at most, as a count is never below its level.
 FILTER_BYTES_OF_TEXT = ORDER * BITS_PER_EVENT / 8 / 2
 #: Bytes of text whose n-grams are asked for at once, and packed bytes of n-grams that a part of the filter gets, about.
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 PART = 16 << 20
 #: Weights of the orders in the mixture, from one word to ORDER words, and what is taken off a count of several words,
 #: so that a run of words that has been seen once says less than one that has been seen twice.
 WEIGHTS = (0.1, 0.3, 0.6)
 DISCOUNT = 0.75
 _TAG = np.uint64(3)
-#: Keys have so many bits: of 10^13 n-grams, one in 7000 has the key of another.
-KEY_BITS = 56
+#: A key has so many bits more than it takes to number the n-grams, so that one in 2^SPARE_BITS has another's key.
+SPARE_BITS = 14
 
 
-def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def key_bits(size: int) -> int:
+    """Bits of a key for texts of so many bytes: a word and what divides it from the next are two bytes at least."""
+    return min(64, max(40, (ORDER * size // 2).bit_length() + SPARE_BITS))
+
+
+def ngrams(h: np.ndarray, first: np.ndarray, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(place of the last word, key) of each run of n words within a text. The lowest two bits of a key tell n."""
     begin = np.repeat(first[:-1], np.diff(first))
     last = np.flatnonzero(np.arange(len(h)) - begin >= n - 1)
@@ -47,11 +52,11 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         key = np.full(len(last), np.uint64(n), np.uint64)
         for i in range(n - 1, -1, -1):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[last - i])
-    return last, (key >> np.uint64(64 - KEY_BITS) & ~_TAG) | np.uint64(n - 1)
+    return last, (key >> np.uint64(64 - bits) & ~_TAG) | np.uint64(n - 1)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -89,7 +94,8 @@ def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 class Filter:
     """The parts of the filter on end; a key's part is that of its bucket."""
 
-    def __init__(self, parts: list[np.ndarray]):
+    def __init__(self, parts: list[np.ndarray], bits: int = 64):
+        self.bits = bits
         sizes = np.array([len(p) for p in parts], np.int64)
         self.buckets, self.sizes, self.begin = len(parts), np.maximum(sizes, 1), np.cumsum(np.maximum(sizes, 1)) - np.maximum(sizes, 1)
         self.data = np.concatenate([p if len(p) else np.zeros(1, np.uint64) for p in parts])
@@ -97,7 +103,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Probes level by level until one is missing; a key's level is the last that wasn't."""
         out = np.zeros(len(keys), np.int64)
-        bucket = bucket_of(keys, self.buckets)
+        bucket = bucket_of(keys, self.buckets, self.bits)
         size, begin, todo = self.sizes[bucket], self.begin[bucket], np.arange(len(keys))
         for level in range(1, 256):
             if not len(todo):
@@ -127,25 +133,25 @@ def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(gaps, dtype=np.uint64), out
 
 
-def _found(texts: pa.Array, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _found(texts: pa.Array, order: int, bits: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(index of each text's first word, (places, keys) of the n-grams of each order)."""
     h, _, _, first = words(*text_buffer(texts))
-    return first, [ngrams(h, first, n) for n in range(1, order + 1)]
+    return first, [ngrams(h, first, n, bits) for n in range(1, order + 1)]
 
 
-def _sent(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+def _sent(keys: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
     """(buckets, packed distinct keys and counts of each); the keys go up from bucket to bucket."""
     distinct, counts = np.unique(keys, return_counts=True)
-    cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+    cuts = np.searchsorted(bucket_of(distinct, buckets, bits), np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cuts))
     return some, [pack(distinct[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in some]
 
 
-def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
+def _counts(docs: DataFrame, buckets: int, order: int, bits: int) -> DataFrame:
     """(bucket, keys, counts): the distinct n-grams of each few megabytes, by bucket, with how often they stand there."""
 
     def sent(keys: list[np.ndarray]) -> pa.RecordBatch:
-        some, packed = _sent(np.concatenate(keys), buckets)
+        some, packed = _sent(np.concatenate(keys), buckets, bits)
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +159,7 @@ def _counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         size = 0
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
-                first, found = _found(batch.column("text").slice(lo, hi - lo), order)
+                first, found = _found(batch.column("text").slice(lo, hi - lo), order, bits)
                 for n in range(order):
                     held[n].append(found[n][1])
                 size += int(first[-1])
@@ -178,7 +184,7 @@ def _joined(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets: int = 1) -> DataFrame:
+def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets: int = 1, bits: int = 64) -> DataFrame:
     """(bucket, words, tokens, types), written to the shared folder: a part of the filter for each bucket of n-grams.
 
     All n-grams of all texts are counted and held; tokens and types are the words of the bucket, with and without
@@ -192,7 +198,7 @@ def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets:
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.array([data.tobytes()], pa.binary()), "tokens": pa.array([int(counts[single].sum())]), "types": pa.array([int(single.sum())])})
 
     some = pruned(docs, text=text_col).where("text IS NOT NULL")
-    return materialise(arrow_groups(_counts(some, buckets, order).repartition(buckets, "bucket").groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
+    return materialise(arrow_groups(_counts(some, buckets, order, bits).repartition(buckets, "bucket").groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
 
 
 def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int, tokens: int, types: int) -> np.ndarray:
@@ -252,11 +258,12 @@ def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: lis
     if size * FILTER_BYTES_OF_TEXT > broadcast_bytes:
         return _scored_by_exchange(chosen, size, order, schema, part_bytes)
     buckets = max(1, math.ceil(size / PART))
-    parts = build(docs, order, text_col, buckets)
+    bits = key_bits(size)
+    parts = build(docs, order, text_col, buckets, bits)
     got = {r["bucket"]: r for r in parts.toLocalIterator()}
     release(parts)
     tokens, types = (sum(r[c] for r in got.values()) for c in ("tokens", "types"))
-    shared = spark.sparkContext.broadcast(Filter([np.frombuffer(got[b]["words"] if b in got else b"", np.uint64) for b in range(buckets)]))
+    shared = spark.sparkContext.broadcast(Filter([np.frombuffer(got[b]["words"] if b in got else b"", np.uint64) for b in range(buckets)], bits))
     del got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +271,7 @@ def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: lis
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for lo, hi in slices(texts):
-                first, found = _found(texts.slice(lo, hi - lo), order)
+                first, found = _found(texts.slice(lo, hi - lo), order, bits)
                 levels = []
                 for _, keys in found:
                     distinct, inverse = np.unique(keys, return_inverse=True)
@@ -278,7 +285,7 @@ def score(docs: DataFrame, order: int = ORDER, text_col: str = "text", keep: lis
 def _ipc(columns: list[pa.Array]) -> bytes:
     batch = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -294,7 +301,8 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
     corpus count and the probes in one. A bucket sums the counts, makes its part of the filter, and answers each
     chunk's keys with their levels. Buckets and chunks are of bounded size, and their numbers grow with the texts.
     """
-    buckets = max(1, math.ceil(size * 1.7 / part_bytes))  # a byte of text makes about that many of packed keys
+    bits = key_bits(size)
+    buckets = max(1, math.ceil(size * 1.2 / part_bytes))  # a byte of text makes about that many of packed keys
     names = [f"c{i}" for i in range(len(chosen.columns))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,10 +315,10 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist()):
-                _, found = _found(_rows(blob)[-1], order)
+                _, found = _found(_rows(blob)[-1], order, bits)
                 keys = np.concatenate([k for _, k in found])
                 del found
-                some, packed = _sent(keys, buckets)
+                some, packed = _sent(keys, buckets, bits)
                 del keys
                 for i in range(0, len(some), 64):
                     part = packed[i : i + 64]
@@ -341,7 +349,7 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
             }
         )
 
-    own = materialise(arrow_map(chosen.toDF(*names), cut, "chunk bigint, rows binary"), "chunks", "zstd")
+    own = materialise(arrow_map(chosen.toDF(*names), cut, "chunk bigint, rows binary"), "chunks", "none")
     asked = arrow_map(own, ask, "chunk bigint, bucket int, keys binary, counts binary").repartition(buckets, "bucket").groupBy("bucket")
     levels = materialise(arrow_groups(asked, answer, "chunk bigint, bucket int, data binary, tokens bigint, types bigint"), "levels", "zstd")
     del asked
@@ -352,7 +360,7 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
         rows = sorted(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()))
         del table
         columns = _rows(rows[0][1])
-        first, found = _found(columns[-1], order)
+        first, found = _found(columns[-1], order, bits)
         _, inverse = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
         flat = np.frombuffer(b"".join(r[1] for r in rows[1:]), np.uint8)[inverse]
         del inverse
