@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
@@ -82,6 +83,27 @@ def cut_rows(df: DataFrame, size: str, order: list[str], most: int) -> DataFrame
     return df.where(F.col(size) <= most).withColumn(total, F.sum(size).over(so_far)).where(F.col(total) <= most).drop(total)
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, most_rows: int, most_bytes: int) -> tuple[dict, DataFrame]:
+    """How many labelled ids of each kind have a text, and (kind, place, text) of a sample of them: whole texts.
+
+    known has a kind for each id. Of each kind the sample has the first rows in the order of place, a hash of the id, at
+    most most_rows and as far as they are most_bytes together; a text that is longer alone isn't taken. Of an id with
+    several texts one counts.
+    """
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    size = F.octet_length("text").cast("bigint").alias("size")
+    one = known.join(texts.select("id", "h", size), "id").groupBy("id", "kind").agg(F.min(F.struct("h", "size")).alias("pick"))
+    there = materialise(one.select("id", "kind", "pick.h", "pick.size", F.xxhash64("id").alias("place")), "labelled")
+    count = {r["kind"]: r["n"] for r in there.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    sample = None
+    for kind in sorted(count):
+        some = cut_rows(there.where(F.col("kind") == kind).where(F.col("size") <= most_bytes).orderBy("place", "id").limit(most_rows), "size", ["place", "id"], most_bytes)
+        sample = some if sample is None else sample.union(some)
+    if sample is None:
+        sample = there
+    return count, texts.join(F.broadcast(sample.drop("size")), ["id", "h"]).groupBy("id", "h", "kind", "place").agg(F.first("text").alias("text")).select("kind", "place", "text")
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -297,6 +319,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, starts, ends, np.searchsorted(starts, off)
 
 
+def of_all(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each begin to end - 1."""
+    up, down = _power_tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * up[: len(h)], out=total[1:])
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B1))
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k successive words, never across texts, and the index of the first one of each text.
 
@@ -317,6 +348,71 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out, begin
 
 
+# == filters of bounded size
+
+#: Bytes of a filter at most, whatever it holds: what doesn't fit makes it pass more, never less. And bits for a digest.
+FILTER_BYTES = 32 << 20
+FILTER_BITS = 12
+FILTER_PROBES = 5
+#: 64-bit words of a filter that are put together at once.
+FILTER_BLOCK = 1 << 13
+
+
+def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    e = mix(keys.astype(np.int64).view(np.uint64))
+    at = ((e >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    f, mask = mix(e), np.zeros(len(e), np.uint64)
+    for i in range(FILTER_PROBES):
+        mask |= np.uint64(1) << (f >> np.uint64(6 * i) & np.uint64(63))
+    return at, mask
+
+
+def build_filter(keys: DataFrame) -> np.ndarray:
+    """64-bit words of a Bloom filter of the column key, a bigint: FILTER_BITS for each row, FILTER_BYTES at most.
+
+    Blocks of it are put together in tasks, so that the driver gets each of its words once.
+    """
+    size = max(1, min(FILTER_BYTES // 8, -(-keys.count() * FILTER_BITS // 64)))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, mask = _bits(batch.column("key").to_numpy(), size)
+            order = np.argsort(at, kind="stable")
+            at, mask = at[order], mask[order]
+            cuts = np.flatnonzero(np.append(True, at[1:] // FILTER_BLOCK != at[:-1] // FILTER_BLOCK)) if len(at) else np.zeros(0, np.int64)
+            spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]))
+            pack = lambda a: pa.array([a[i:j].tobytes() for i, j in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts] // FILTER_BLOCK), pack((at % FILTER_BLOCK).astype(np.int32)), pack(mask)], names=["block", "at", "mask"])
+
+    def block(table: pa.Table) -> pa.Table:
+        out = np.zeros(FILTER_BLOCK, np.uint64)
+        for at, mask in zip(table.column("at").to_pylist(), table.column("mask").to_pylist()):
+            np.bitwise_or.at(out, np.frombuffer(at, np.int32), np.frombuffer(mask, np.uint64))
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    packed = arrow_map(keys.select("key"), parts, "block bigint, at binary, mask binary")
+    whole = np.zeros(-(-size // FILTER_BLOCK) * FILTER_BLOCK, np.uint64)
+    for row in arrow_groups(packed.groupBy("block"), block, "block bigint, bits binary").toLocalIterator():
+        whole[row["block"] * FILTER_BLOCK :][:FILTER_BLOCK] = np.frombuffer(row["bits"], np.uint64)
+    return whole[:size]
+
+
+def held_by(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at, mask = _bits(keys, len(words))
+    return words[at] & mask == mask
+
+
+def may_hold(spark: SparkSession, words: np.ndarray):
+    """A column function of the keys: whether the filter may hold them. Its size is bounded, so it is broadcast."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def probe(keys: pd.Series) -> pd.Series:
+        return pd.Series(held_by(shared.value, keys.fillna(0).to_numpy()))
+
+    return probe
+
+
 # == connected components
 
 
