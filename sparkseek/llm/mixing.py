@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,25 +12,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, column, mapped, materialise, private, pruned, slices, text_buffer, words
+from .base import arrow_map, column, labelled_sample, mapped, materialise, private, slices, text_buffer, words
 
 #: The domain of a row of the labelled table, and the share of tokens that each is to have.
 DOMAIN = "CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' END"
 TARGETS = {"clean": 0.95, "toxic": 0.05, "junk": 0.0}
-#: Labelled rows of each domain that the classifier is fitted on, at most, and the bytes it sees of each: windows evenly
-#: spread over the text. Prediction takes whole texts.
+#: Labelled rows of each domain that the classifier is fitted on, at most, with their whole texts, and the bytes that
+#: these have together.
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 1 << 15
+SAMPLE_BYTES = 16 << 20
 #: Word hashes are counted in so many buckets; those in fewer sampled rows than MIN_ROWS aren't features.
 BUCKETS = 1 << 18
 MIN_ROWS = 8
 #: Weight of staying near a rate of 1.
 RIDGE = 1e-4
-ITERATIONS = 60
+#: Documents whose posteriors agree in the first places share a rate: so many steps from 0 to 1, and so many cells at most.
+STEPS = 512
+MOST_CELLS = 1 << 18
+#: Gradient steps end when the loss is so near to its least possible value (the duality gap), or with a warning.
+GAP = 1e-7
+ITERATIONS = 20_000
 #: Without a budget, a domain that is too scarce for its share is repeated up to so many times, and has less beyond that.
 MOST_REPEATS = 4
-#: Steps end when no domain's share of tokens changes by more.
-TOLERANCE = 1e-5
 _KINDS = ("upper", "digit", "mark", "other")
 _KIND = np.zeros(256, np.int64)
 _KIND[:] = 4
@@ -115,59 +120,95 @@ def train(texts: list[str], labels: np.ndarray, domains: list[str], share: np.nd
     return model
 
 
-def _windows(text: str) -> str:
-    """The text, or windows evenly spread over it that are SAMPLE_BYTES together."""
-    if len(text) <= SAMPLE_BYTES:
-        return text
-    wide = SAMPLE_BYTES // 16
-    return "\n".join(text[i * (len(text) - wide) // 15 :][:wide] for i in range(16))
-
-
 def fit(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """A classifier of labelled documents, by at most SAMPLE_ROWS rows of each domain: the first by a hash of the id.
 
     domain is a SQL expression over labels; rows where it, the id or the text is null, or that is none of domains, are
-    left out; an id with several domains counts for the least. Priors are the shares of all labelled ids. Without any
-    labelled row the domains are equally likely for every text.
+    left out; an id with several domains counts for the least, and one of its texts counts. Priors are the shares of all
+    labelled ids. Without any labelled row the domains are equally likely for every text.
     """
     domains = domains or [*TARGETS]
-    known = labels.select(column(id_col).alias("id"), F.expr(domain).alias("domain")).where("id IS NOT NULL").where(F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
-    present = known.join(pruned(docs.where(column(text_col).isNotNull()), id=id_col), "id", "left_semi")
-    share = {r["domain"]: r["n"] for r in present.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(column(id_col).alias("id"), F.expr(domain).alias("kind")).where("id IS NOT NULL").where(F.col("kind").isin(domains)).groupBy("id").agg(F.min("kind").alias("kind"))
+    share, sample = labelled_sample(docs, known, id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES)
     total = sum(share.values())
-    if not total:
-        return Classifier(domains, prior=np.full(len(domains), 1 / len(domains)))
-    order = F.xxhash64("id")
-    sample = None
-    for d in domains:
-        some = present.where(F.col("domain") == d).orderBy(order, "id").limit(SAMPLE_ROWS)
-        sample = some if sample is None else sample.union(some)
-    texts = pruned(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").where("text IS NOT NULL").select("domain", order.alias("order"), "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_windows(t) for t in b.column(2).to_pylist()], pa.string())], names=["domain", "order", "text"])
+    rows = sorted((r["place"], r["text"], r["kind"]) for r in sample.collect()) if total else []
+    prior = np.array([share.get(d, 0) / total for d in domains]) if total else np.full(len(domains), 1 / len(domains))
+    if not rows:
+        return Classifier(domains, prior=prior)
+    return train([text for _, text, _ in rows], np.array([domains.index(kind) for _, _, kind in rows]), domains, prior)
+
 
-    rows = sorted(arrow_map(texts, cut, texts.schema).collect(), key=lambda r: (r["order"], r["text"]))
-    return train([r["text"] for r in rows], np.array([domains.index(r["domain"]) for r in rows]), domains, np.array([share.get(d, 0) / total for d in domains]))
+def cell_steps(k: int) -> int:
+    """Steps of each of k posteriors, so that there are MOST_CELLS cells at most, about."""
+    steps = STEPS
+    while steps > 2 and math.comb(steps + k - 1, k - 1) > MOST_CELLS:
+        steps -= max(1, steps // 16)
+    return steps
+
+
+def cell_of(p: np.ndarray) -> np.ndarray:
+    """The cell of each row of posteriors, a number: all but the last, rounded."""
+    steps = cell_steps(p.shape[1])
+    at = np.floor(p[:, :-1] * steps + 0.5).astype(np.int64)
+    out = np.zeros(len(p), np.int64)
+    for i in range(at.shape[1]):
+        out = out * (steps + 1) + at[:, i]
+    return out
 
 
 @dataclass
 class Rates:
-    """Rates as a function of a document's posteriors: the projected gradient steps, each with its residuals."""
+    """The rate of each cell of posteriors, and what the domains have by them and should have, in shares of all tokens."""
 
-    scale: np.ndarray
-    step: float
-    ridge: float
-    steps: list[np.ndarray] = field(default_factory=list)
+    cells: np.ndarray
+    rates: np.ndarray
+    expected: np.ndarray
+    target: np.ndarray
+    gap: float
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
-        """The point where the next gradient is taken: the last rate, carried on by momentum, and never below 0."""
-        last = ahead = np.ones(len(p))
-        for t, residual in enumerate(self.steps):
-            r = np.maximum(0.0, ahead - self.step * ((p * self.scale) @ residual + self.ridge * (ahead - 1)))
-            last, ahead = r, np.maximum(0.0, r + t / (t + 3) * (r - last))
-        return ahead
+        """1 for a cell without tokens."""
+        if not len(self.cells):
+            return np.ones(len(p))
+        cell = cell_of(p)
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.rates[at], 1.0)
+
+
+def gradient_steps(w: np.ndarray, p: np.ndarray, target: np.ndarray, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """(rates, duality gap): the rates r >= 0 that minimise, by projected gradient with momentum,
+
+        1/2 sum over domains of scale * (sum of w p r - target)^2 + ridge/2 * sum of w (r - 1)^2.
+
+    w are token shares, one metric for the steps; p the posteriors. The momentum starts anew where the loss grows.
+    """
+    r = ahead = np.ones(len(w))
+    t, last, gap = 0, math.inf, math.inf
+    size = 1 / (float(np.linalg.eigvalsh((p * np.sqrt(scale)).T @ (p * np.sqrt(scale) * w[:, None])).max(initial=0.0)) + ridge)
+
+    def loss_and_bound(r: np.ndarray) -> tuple[float, float]:
+        y = scale * ((w * r) @ p - target)
+        loss = (y**2 / scale).sum() / 2 + ridge / 2 * (w * (r - 1) ** 2).sum()
+        slope = p @ y
+        best = np.maximum(0.0, 1 - slope / ridge)
+        return loss, float((w * (slope * best + ridge / 2 * (best - 1) ** 2)).sum() - y @ target - (y**2 / scale).sum() / 2)
+
+    bound = -math.inf
+    for step in range(ITERATIONS):
+        slope = p @ (scale * ((w * ahead) @ p - target)) + ridge * (ahead - 1)
+        new = np.maximum(0.0, ahead - size * slope)
+        if step % 8 == 0:
+            loss, low = loss_and_bound(new)
+            bound = max(bound, low)
+            gap = loss - bound
+            if gap <= GAP:
+                return new, gap
+            if loss > last:
+                t = 0
+            last = loss
+        ahead, r, t = np.maximum(0.0, new + t / (t + 3) * (new - r)), new, t + 1
+    warnings.warn(f"the rates are {gap:.2g} from the least loss after {ITERATIONS} steps", stacklevel=2)
+    return r, gap
 
 
 def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str], budget: float | None = None, ridge: float = RIDGE) -> Rates:
@@ -175,8 +216,10 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
 
     Least squares over rates r >= 0: sum over domains of (expected - target)^2 / available, plus ridge times the
     token-weighted mean of (r - 1)^2, by gradient steps with projection onto r >= 0, in the metric that weights a
-    document by its tokens. Each step is one pass that sums K numbers; a document's rate depends on its posteriors and
-    on the residuals of the steps so far alone, so no rate is stored and a lost executor costs one task.
+    document by its tokens. The gradient at a document depends on its posteriors alone, so documents of like posteriors
+    take the same steps: tasks sum the tokens and the posteriors of each cell of them over all documents, and the steps
+    are taken on these sums, of which there are MOST_CELLS at most whatever the table. What the domains then have is
+    what all documents have, as the sums are exact.
 
     budget is the share of all tokens that the mixture has. By default it is that at which the domain of the largest
     target is used once and whole; scarcer domains repeat for their share, up to MOST_REPEATS times.
@@ -185,27 +228,21 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     want = want / want.sum() if want.sum() > 0 else np.full(k, 1 / k)
 
-    def expected(rates: Rates | None) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + 1)
-            for b in batches:
-                n = b.column("n").to_numpy().astype(np.float64)
-                p = b.column("p").flatten().to_numpy().reshape(-1, k)
-                r = n if rates is None else n * rates(p)
-                total += np.append(p.T @ r, n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
-
-        sums = [F.sum(F.element_at("total", i + 1)).alias(f"s{i}") for i in range(k + 1)]
-        got = arrow_map(memberships, run, "total array<double>").agg(*sums).first()
-        return np.array([x or 0.0 for x in got])
-
-    start = expected(None)
-    total, available = start[k], start[:k]
-    rates = Rates(np.zeros(k), 1 / (1 + ridge), ridge)
-    if not total:
-        return rates
-    available = available / total
-    rates.scale = 1 / np.maximum(available, 1e-6)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n").to_numpy().astype(np.float64)
+            p = b.column("p").flatten().to_numpy().reshape(-1, k)
+            cells, at = np.unique(cell_of(p), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(np.bincount(at, x, len(cells))) for x in (n, *(p * n[:, None]).T)]], names=["cell", "n", *[f"s{i}" for i in range(k)]])
+
+    parts = arrow_map(memberships.where("n > 0"), sums, ", ".join(["cell bigint", "n double", *[f"s{i} double" for i in range(k)]]))
+    rows = sorted(tuple(r) for r in parts.groupBy("cell").agg(F.sum("n"), *[F.sum(f"s{i}") for i in range(k)]).collect())
+    if not rows:
+        return Rates(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), want, 0.0)
+    cells, table = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    total = table[:, 0].sum()
+    w, p = table[:, 0] / total, table[:, 1:] / table[:, :1]
+    available = w @ p
     can = (want > 0) & (available > 0)
     if budget is not None:
         target = want * budget
@@ -214,31 +251,30 @@ def solve(memberships: DataFrame, targets: dict[str, float], domains: list[str],
         target = np.minimum(want * available[main] / want[main], available * MOST_REPEATS)
     else:
         target = want
-    now = available
-    for _ in range(ITERATIONS):
-        residual = now - target
-        rates.steps.append(residual)
-        before, now = now, expected(rates)[:k] / total
-        if np.abs(now - before).max() < TOLERANCE:
-            break
-    return rates
-
-
-def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """(n, p): number of words and domain posteriors of each row of docs, written to the shared folder."""
+    rates, gap = gradient_steps(w, p, target, 1 / np.maximum(available, 1e-6), ridge)
+    return Rates(cells, rates, (w * rates) @ p, target, gap)
+
+
+def _lists(p: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+
+
+def memberships(docs: DataFrame, model: Classifier, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
+    """The columns kept as c0, c1, ..., draw (a hash of id and text), n (words) and p (posteriors), in the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                n, p = shared.value.posteriors(batch.column(0).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), _lists(p)], names=["n", "p"])
-
-    return materialise(arrow_map(docs.select(column(text_col).alias("text")), run, "n bigint, p array<double>"), "memberships")
-
+            texts = batch.column("text")
+            for lo, hi in slices(texts):
+                n, p = shared.value.posteriors(texts.slice(lo, hi - lo))
+                some = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], some.column("draw"), pa.array(n, pa.int64()), _lists(p)], names=[*names, "draw", "n", "p"])
 
-def _lists(p: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+    chosen = docs.select(*[column(c).alias(name) for c, name in zip(kept, names)], F.xxhash64(column(id_col), column(text_col)).alias("draw"), column(text_col).alias("text"))
+    schema = chosen.drop("text").select("*", F.lit(0).cast("bigint").alias("n"), F.array(F.lit(0.0)).alias("p")).schema
+    return materialise(arrow_map(chosen, run, schema), "memberships")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = DOMAIN, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, repeat: bool = False) -> DataFrame:
@@ -254,29 +290,26 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     """
     targets = targets or TARGETS
     domains = [*targets]
-    model = fit(docs, labels, domain, domains, id_col, text_col)
-    rates = solve(memberships(docs, model, text_col), targets, domains, budget)
-    source, draw = private(docs, "source", "draw")
     new = [] if repeat else ["n_tokens", "posteriors", "rate", "copies"]
     kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in new]
-    shared = docs.sparkSession.sparkContext.broadcast((model, rates))
+    known = memberships(docs, fit(docs, labels, domain, domains, id_col, text_col), id_col, text_col, kept)
+    shared = docs.sparkSession.sparkContext.broadcast(solve(known.select("n", "p"), targets, domains, budget))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rates = shared.value
+        rates = shared.value
         for batch in batches:
-            texts, draws = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            for lo, hi in slices(texts):
-                n, p = model.posteriors(texts.slice(lo, hi - lo))
-                rate = rates(p)
-                u = (draws.slice(lo, hi - lo).to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53
-                copies = (np.floor(rate) + (u < rate - np.floor(rate))).astype(np.int32)
-                some = batch.slice(lo, hi - lo).select(range(len(kept)))
-                if repeat:
-                    yield pa.RecordBatch.from_arrays(some.take(pa.array(np.repeat(np.arange(hi - lo), copies))).columns, names=kept)
-                else:
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(n, pa.int64()), _lists(p), pa.array(rate), pa.array(copies)], names=[*kept, *new])
-
-    chosen = docs.select(*[column(c) for c in kept], column(text_col).alias(source), F.xxhash64(column(id_col), column(text_col)).alias(draw))
+            draws, n, lists = batch.columns[-3:]
+            p = lists.flatten().to_numpy().reshape(batch.num_rows, len(domains))
+            rate = rates(p)
+            u = (draws.to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53
+            copies = (np.floor(rate) + (u < rate - np.floor(rate))).astype(np.int32)
+            some = batch.columns[:-3]
+            if repeat:
+                at = pa.array(np.repeat(np.arange(batch.num_rows), copies))
+                yield pa.RecordBatch.from_arrays([c.take(at) for c in some], names=kept)
+            else:
+                yield pa.RecordBatch.from_arrays([*some, n, lists, pa.array(rate), pa.array(copies)], names=[*kept, *new])
+
     kinds = {"n_tokens": "bigint", "posteriors": "array<double>", "rate": "double", "copies": "int"}
     schema = docs.select(*[column(c) for c in kept], *[F.lit(None).cast(kinds[c]).alias(c) for c in new]).schema
-    return mapped(chosen, run, schema)
+    return mapped(known, run, schema)

@@ -11,12 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, column, mapped, private, text_buffer
+from .base import column, labelled_sample, mapped, private, text_buffer
 
-#: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most.
+#: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most, with their whole texts,
+#: and the bytes that these have together.
 SAMPLE_ROWS = 2000
-#: Blocks of each of those texts, at most, evenly spread over it. Scoring always takes the whole text.
-SAMPLE_BLOCKS = 24
+SAMPLE_BYTES = 16 << 20
 #: Bytes that are compressed at once, so that the dictionary counts all along a long text.
 BLOCK = 2048
 DICTIONARY = 1 << 18
@@ -81,38 +81,22 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def spread(data: bytes) -> list[bytes]:
-    every = blocks(data)
-    return every if len(every) <= SAMPLE_BLOCKS else [every[i * len(every) // SAMPLE_BLOCKS] for i in range(SAMPLE_BLOCKS)]
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """A model of labelled documents, by a sample of at most SAMPLE_ROWS rows of each class; None if a class has none.
 
-    The rows sampled are the first by a hash of the id. Dictionaries are of the even places of that order, the curve
-    is of the odd ones, whose texts the dictionaries haven't seen. A row of labels counts as good if its label is
-    above 0. Null ids, labels and texts are left out; an id with labels of both kinds counts as bad.
+    The rows sampled are the first by a hash of the id, with whole texts, as far as these are SAMPLE_BYTES. Dictionaries
+    are of the even places of that order, the curve is of the odd ones, whose texts the dictionaries haven't seen. A row
+    of labels counts as good if its label is above 0. Null ids, labels and texts are left out; an id with labels of both
+    kinds counts as bad; of an id with several texts one counts.
     """
-    known = labels.select(column(id_col).alias("id"), (column(label_col) > 0).alias("good")).where("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.min("good").alias("good"))
-    present = known.join(docs.where(column(text_col).isNotNull()).select(column(id_col).alias("id")), "id", "left_semi")
-    order = F.xxhash64("id")
-    sample = present.where("good").orderBy(order, "id").limit(SAMPLE_ROWS).union(present.where("NOT good").orderBy(order, "id").limit(SAMPLE_ROWS))
-    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(sample), "id").where("text IS NOT NULL")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = [spread(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("good"), b.column("order"), pa.array(cut, pa.list_(pa.binary()))], names=["id", "good", "order", "parts"])
-
-    chosen = texts.select("id", "good", order.alias("order"), "text")
-    kind = chosen.schema["id"].dataType.simpleString()
-    rows = arrow_map(chosen, parts, f"id {kind}, good boolean, order bigint, parts array<binary>").collect()
-    rows.sort(key=lambda r: (r["order"], str(r["id"]), r["parts"]))
-    by = {kind: [r["parts"] for r in rows if r["good"] == kind] for kind in (True, False)}
+    known = labels.select(column(id_col).alias("id"), (column(label_col) > 0).alias("kind")).where("id IS NOT NULL AND kind IS NOT NULL").groupBy("id").agg(F.min("kind").alias("kind"))
+    _, sample = labelled_sample(docs, known, id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES)
+    rows = sorted((r["place"], r["text"].encode(), r["kind"]) for r in sample.collect())
+    by = {kind: [text for _, text, k in rows if k == kind] for kind in (True, False)}
     if not by[True] or not by[False]:
         return None
-    model = Model(*[dictionary([p for own in by[kind][::2] for p in own if p]) for kind in (True, False)], 0.0, 0.0)
-    seen = [(model.difference(b"".join(own)), float(kind)) for kind in (True, False) for own in (by[kind][1::2] or by[kind])]
+    model = Model(*[dictionary([p for text in by[kind][::2] for p in blocks(text)]) for kind in (True, False)], 0.0, 0.0)
+    seen = [(model.difference(text), float(kind)) for kind in (True, False) for text in (by[kind][1::2] or by[kind])]
     model.slope, model.intercept = logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen]))
     return model
 
@@ -143,7 +127,12 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the classifier fitted on labels doesn't reject."""
+    """The rows of docs, all columns, that the classifier fitted on labels doesn't reject.
+
+    Each row is decided by its own text: null and empty texts by the curve's value where nothing is shown, repeated rows
+    and rows with a null id like any other. Where a class has no labelled text nothing is rejected. Labels of ids that
+    docs doesn't have don't matter. An empty table gives an empty result.
+    """
     (name,) = private(docs, "score")
     out = score(docs, fit(docs, labels, id_col, text_col), text_col, min_score=REJECT_BELOW, name=name)
     return out.select(*[column(c) for c in docs.columns])
