@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, private
+from .base import column, materialise, private
 
 MAX_DOCS = 10
 
@@ -25,7 +25,7 @@ def line_dedup(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id"
     text is cleaned too. Repeated rows count once by their id and are all cleaned. A text that loses all its lines
     becomes empty. Columns n_lines and n_dropped of docs are replaced. An empty table gives an empty result.
 
-    Lines are counted by a pair of hashes (96 bits), so only hashes are shuffled. Which lines go depends on the text
+    Lines are parsed once, to a pair of hashes (96 bits) in the shared folder, so only hashes are shuffled. Which lines go depends on the text
     alone, hence the verdicts, (hash of text, positions), are joined back by the hash of the text: rows with equal
     texts share one verdict, and null or repeated ids need no care.
     """
@@ -33,13 +33,11 @@ def line_dedup(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id"
     k, g, gone, lines = private(docs, "k", "g", "gone", "lines")
     text = column(text_col)
 
-    def exploded(*extra):
-        each = docs.where(text.isNotNull()).select(*extra, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-        line = each.withColumn("line", normalised(F.col("line"))).where("line <> ''")
-        return line.withColumns({"h": F.xxhash64("line"), "h2": F.hash("line")}).drop("line")
-
-    frequent = exploded(column(id_col).alias("id")).groupBy("h", "h2").agg(F.countDistinct("id").alias("n")).where(F.col("n") > max_docs).select("h", "h2")
-    hit = exploded(F.xxhash64(text).alias(k), F.hash(text).alias(g)).join(frequent, ["h", "h2"], "left_semi")
+    cut = docs.where(text.isNotNull()).select(F.xxhash64(text).alias(k), F.hash(text).alias(g), column(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    line = cut.withColumn("line", normalised(F.col("line"))).where("line <> ''")
+    each = materialise(line.withColumns({"h": F.xxhash64("line"), "h2": F.hash("line")}).drop("line"), "lines")
+    frequent = each.groupBy("h", "h2").agg(F.countDistinct("id").alias("n")).where(F.col("n") > max_docs).select("h", "h2")
+    hit = each.join(frequent, ["h", "h2"], "left_semi")
     verdict = hit.groupBy(k, g).agg(F.collect_set("pos").alias(gone))
     joined = docs.withColumns({k: F.xxhash64(text), g: F.hash(text)}).join(verdict, [k, g], "left").withColumn(lines, F.split(text, "\n"))
     kept = F.filter(F.col(lines), lambda _, i: ~F.array_contains(F.col(gone), i))
