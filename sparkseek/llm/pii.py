@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise, pruned, release, slices, text_buffer
+from .base import arrow_map, build_filter, held_by, materialise, of_all, pruned, release, slices, text_buffer, words
 
 KINDS = ("email", "phone", "card", "ip", "secret")
 ROUNDS = 3
@@ -21,6 +21,9 @@ PATTERN_FROM = 0.5
 REPORT_FROM = 0.6
 #: What an instance of unknown kind counts for against a pattern with a shape, and against one of context alone.
 UNKNOWN_SHAPED, UNKNOWN_BARE = 0.05, 1.0
+#: Distinct seeds that a context has at least if tokens without a digit or @ are looked for in it: with one such token
+#: of unknown kind and DOUBT against it, fewer can't make it a pattern.
+CONTEXT_SEEDS = 2
 #: Added to the evidence against every pattern, so that few instances prove little.
 DOUBT = 1.0
 
@@ -119,16 +122,22 @@ def _around(text: str, begin: int, end: int) -> tuple[str, str, str]:
     return f"{_word(left[0].encode('utf-8', 'replace'))} {one}", one, _word(right[0].encode("utf-8", "replace")) if right else "$"
 
 
-def candidates(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int]]:
-    """(row, value, two words before, word before, word after, first character, end) of each seed and each other token.
+def candidates(texts: pa.Array, given: re.Pattern | None = None) -> Iterator[tuple[int, str, str, str, str, int, int]]:
+    """(row, value, two words before, word before, word after, first character, end) of each seed and each other token
+    with a digit or @.
 
     Seeds are found wherever they stand, so in JSON, CSV and URLs too; a token that holds or touches one, and isn't one
-    itself, is no candidate.
+    itself, is no candidate. given finds the values that the caller has given as seeds.
     """
     held: dict[int, list[tuple[int, int]]] = {}
     strings = texts.to_pylist()
     for i, text in enumerate(strings):
-        if text and (spans := seeds_in(text)):
+        if not text:
+            continue
+        spans = seeds_in(text)
+        if given is not None:
+            spans = sorted(spans + [m.span() for m in given.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)])
+        if spans:
             held[i] = spans
     whole: dict[int, set[tuple[int, int]]] = {}
     for token in _tokens(texts):
@@ -148,6 +157,46 @@ def candidates(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int,
                 yield doc, strings[doc][a:b], *_around(strings[doc], a, b), a, b
 
 
+def _contexts(strings: list[str]) -> np.ndarray:
+    """A hash of the words in each of some contexts, whatever marks are around them."""
+    data, off = text_buffer(pa.array(strings, pa.string()))
+    data = np.where(data == 95, 32, data).astype(np.uint8)
+    h, _, _, first = words(data, off)
+    return of_all(h, first[:-1], first[1:]).view(np.int64)
+
+
+def plain_tokens(texts: pa.Array, filter_words: np.ndarray) -> Iterator[tuple[int, str, str, int, int]]:
+    """(row, value, two words before, first character, end) of each token without a digit or @ in a context that the filter may hold."""
+    data, off = text_buffer(texts)
+    if not len(data):
+        return
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.append(True, space[:-1] | edge[1:-1]))
+    ends = np.flatnonzero(~space & np.append(space[1:] | edge[1:-1], True)) + 1
+    marks = np.concatenate([[0], np.cumsum(_MARK[data])])
+    line = np.concatenate([[0], np.cumsum((data == 10) | edge[1:])])[starts]  # which line of which text
+    h, word, _, _ = words(np.where(data == 95, 32, data).astype(np.uint8), off)
+    back = lambda n: np.maximum(np.arange(len(starts)) - n, 0)
+    one, two = line[back(1)] == line, line[back(2)] == line
+    begin = starts[np.where(two, back(2), np.where(one, back(1), np.arange(len(starts))))]
+    context = of_all(h, np.searchsorted(word, begin), np.searchsorted(word, starts)).view(np.int64)
+    likely = np.flatnonzero((marks[ends] == marks[starts]) & held_by(filter_words, context))
+    if not len(likely):
+        return
+    raw, chars = data.tobytes(), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    row = np.searchsorted(off, starts[likely], side="right") - 1
+    for i, doc in zip(likely.tolist(), row.tolist()):
+        text = raw[starts[i] : ends[i]].decode("utf-8", "replace")
+        lo, hi = stripped(text)
+        if not any(c.isalpha() for c in text[lo:hi]):
+            continue
+        before = [_word(raw[starts[i - n] : ends[i - n]]) if i >= n and same[i] else "^" for n, same in ((2, two), (1, one))]
+        at = int(chars[starts[i]] - chars[off[doc]]) + lo
+        yield doc, text[lo:hi], " ".join(before), at, at + hi - lo
+
+
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int]]:
     """(row, value, two words before, word before, word after, first character, end) of each token with a digit or @.
 
@@ -209,49 +258,75 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int
         yield doc, value, f"{_word(two)} {_word(one)}", _word(one), _word(after(doc, b)), start_char, start_char + len(value)
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
+_KINDS_OF = "value string, seed string, patterns array<string>, start bigint, end bigint"
+
+
+def _batch(ids: pa.Array, rows: list[int], *columns: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=["id", "value", "seed", "patterns", "start", "end"])
+
+
+def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
+    """(id, value, seed, patterns, start, end) of the seeds and of the tokens with a digit or @."""
+    form = re.compile("|".join(rf"(?<!\w){re.escape(v)}(?!\w)" for v in sorted(given, key=len, reverse=True))) if given else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column("text"), 8 << 20):
-                rows = [*candidates(batch.column("text").slice(lo, hi - lo))]
+                rows = [*candidates(batch.column("text").slice(lo, hi - lo), form)]
                 shapes = [shape(r[1]) for r in rows]
                 patterns = [[f"L {two}", f"S {s}", f"LS {one} {s}", f"SR {s} {after}"] for (_, _, two, one, after, _, _), s in zip(rows, shapes)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(lo, hi - lo).take(pa.array([r[0] for r in rows], pa.int64())),
-                        pa.array([r[1] for r in rows], pa.string()),
-                        pa.array([seed_kind(r[1]) for r in rows], pa.string()),
-                        pa.array(patterns, pa.list_(pa.string())),
-                        pa.array([r[5] for r in rows], pa.int64()),
-                        pa.array([r[6] for r in rows], pa.int64()),
-                    ],
-                    names=["id", "value", "seed", "patterns", "start", "end"],
-                )
+                yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [seed_kind(r[1]) for r in rows], patterns, [r[5] for r in rows], [r[6] for r in rows])
+
+    return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
 
-    return arrow_map(docs, run, f"id {kind}, value string, seed string, patterns array<string>, start bigint, end bigint")
+
+def _plain_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The same, of the tokens without a digit or @ in contexts that distinct seeds have."""
+    context = F.element_at("patterns", 1)
+    several = found.where("seed IS NOT NULL").select(context.alias("context"), "value").groupBy("context").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= CONTEXT_SEEDS)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_contexts([c[2:] for c in batch.column(0).to_pylist()]))], names=["key"])
+
+    hashes = materialise(arrow_map(several.select("context"), keys, "key bigint").distinct(), "contexts")
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(hashes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column("text"), 4 << 20):
+                rows = [*plain_tokens(batch.column("text").slice(lo, hi - lo), shared.value)]
+                yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [None] * len(rows), [[f"L {r[2]}"] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
+
+    return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
 
 
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seeds: dict[str, str] | None = None) -> DataFrame:
     """(id, kind, value, start, end, score, seed): every identifier found; start and end count characters.
 
-    Candidates are the tokens with a digit or an @, and what has a form that alone tells its kind, wherever it stands in
-    a text. The latter are seeds, and so are the keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before; its shape; the word
-    before with the shape; the shape with the word after. In each round a pattern's confidence in a kind is the
-    confidence of its distinct instances in that kind, against that in others, the unknown ones and DOUBT; an
-    instance's is 1 - product(1 - confidence of its patterns from PATTERN_FROM on). Seeds keep 1. What ends at
-    REPORT_FROM or more is reported, of its surest kind; at ties the first of KINDS.
+    Candidates are what has a form that alone tells its kind, wherever it stands in a text, the tokens with a digit or
+    an @, and each other token in a context (the two words before) that CONTEXT_SEEDS seeds or more have: a name or
+    a word can be an identifier by what stands before it. The first of these are seeds, and so are the values given as
+    keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before; and, with a digit
+    or @, its shape; the word before with the shape; the shape with the word after. In each round a pattern's
+    confidence in a kind is the confidence of its distinct instances in that kind, against that in others, the unknown
+    ones and DOUBT; an instance's is 1 - product(1 - confidence of its patterns from PATTERN_FROM on). Seeds keep 1.
+    What ends at REPORT_FROM or more is reported, of its surest kind; at ties the first of KINDS.
 
     The graph's edges are distinct (pattern, value) pairs, so hot values and repeated rows weigh once. Null and empty
     texts have no candidates. Rows with a null id are reported with it. Repeated rows are each reported. Other columns
     don't matter. An empty table, or one without seeds, gives an empty result.
+
+    Contexts go to the tasks as a filter of bounded size; what it lets through by mistake belongs to no pattern.
     """
     spark = docs.sparkSession
-    found = materialise(_candidates(pruned(docs, id=id_col, text=text_col).where("text IS NOT NULL")), "candidates")
+    some = pruned(docs, id=id_col, text=text_col).where("text IS NOT NULL")
+    found = materialise(_candidates(some, [*(seeds or {})]), "candidates")
     if seeds:
         given = spark.createDataFrame([*seeds.items()], "value string, given string")
-        found = found.join(F.broadcast(given), "value", "left").withColumn("seed", F.coalesce("given", "seed")).drop("given")
+        found = materialise(found.join(F.broadcast(given), "value", "left").withColumn("seed", F.coalesce("given", "seed")).select(*found.columns), "candidates")
+    found = found.unionByName(materialise(_plain_candidates(some, found), "candidates"))
     start = found.groupBy("value").agg(F.max("seed").alias("seed"))
     edges = materialise(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
     scores = materialise(start.select("value", "seed", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(k) for k in KINDS]), "scores")
