@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise, mix, _power_tables, pruned, slices, text_buffer, words
+from .base import _power_tables, arrow_map, materialise, mix, of_all, pruned, slices, text_buffer, words
 
 #: Words that a passage must have at least to count as a repeat.
 MIN_WORDS = 50
@@ -40,15 +40,6 @@ def again(h: np.ndarray) -> np.ndarray:
     return mix(h ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def of_all(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words from each begin to end - 1."""
-    up, down = _power_tables(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(h * up[: len(h)], out=total[1:])
-        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B1))
-
-
 def sliding(a: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of each a[i : i + w], in log w passes; shorter near the end."""
     out, have = a.copy(), 1
@@ -218,7 +209,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     own = [F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("partner").alias("partner")]
     pieces = runs.groupBy("id", "of", "run", "piece", "group").agg(F.min("word").alias("a"), F.max("word").alias("b"), *own)
     piece = F.struct(F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), "group")
-    passages = pieces.groupBy("id", "of", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), *own, F.array_sort(F.collect_list(piece)).alias("pieces"))
+    passages = materialise(pieces.groupBy("id", "of", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), *own, F.array_sort(F.collect_list(piece)).alias("pieces")), "passages")
     parts = passages.join(whole.select("id", "of").distinct(), ["id", "of"], "left_anti").select(
         "id", F.col("a").alias("start_word"), (F.col("b") - F.col("a") + min_words).alias("n_words"), F.col("begin").alias("start_char"), F.col("end").alias("end_char"), "partner", "pieces"
     )
