@@ -106,23 +106,60 @@ def test_components(spark):
     assert got == connected(nodes, links)
 
 
-def test_index_of_several_runs_keeps_the_smallest_id(spark, tmp_path):
+def test_index_of_several_runs_keeps_the_smallest_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE", 2)
     index = exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index")
-    for rows in ([("x", 5), ("y", 3)], [("x", 2), ("x", 9)], [("z", 1)]):
+    for rows in ([("x", 5), ("y", 3)], [("x", 2), ("x", 9), ("w", None)], [("z", 1)]):
         index.flush(spark.createDataFrame(rows, "text string, id bigint").coalesce(1).select(exact_dedup.digest("text").alias("digest"), "id"))
-    assert [level for level, _ in index.runs] == [0, 0, 0]
-    assert sorted((r["id"], r["n"]) for r in index.read().collect()) == [(1, 1), (2, 2), (3, 1), (5, 1)]
-    index.compact()
-    assert [level for level, _ in index.runs] == [1]
-    assert sorted((r["id"], r["n"]) for r in index.read().collect()) == [(1, 1), (2, 3), (3, 1)]
-
+    assert index.runs == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    assert sorted((str(r["id"]), r["n"]) for r in index.read().collect()) == [("1", 1), ("2", 2), ("3", 1), ("5", 1), ("None", 1)]
+    import hashlib
 
-def test_hits_are_verified_by_their_bytes(spark, monkeypatch):
+    of = lambda t: hashlib.md5(t.encode()).digest()
+    assert [(r["id"], r["n"]) for r in index.find([of("x"), of("no")]).collect()] == [(2, 3)]
+    index.compact()
+    assert index.runs == [(1, 3, 1)] and sorted(p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("run")) == ["run-1-3-1"]
+    assert sorted((str(r["id"]), r["n"]) for r in index.read().collect()) == [("1", 1), ("2", 3), ("3", 1), ("None", 1)]
+    assert exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index").runs == [(1, 3, 1)]
+    ask = spark.createDataFrame([("x",), ("no",), ("z",)], "text string").select(exact_dedup.digest("text").alias("digest"))
+    assert {bytes(r["digest"]) for r in index.known(ask, (1, 3, 1)).collect()} == {of("x"), of("z")}
+    words = index.filter_of((1, 3, 1))
+    assert sorted(r[0] for r in ask.select(base.may_hold(spark, words)(exact_dedup.key_of("digest"))).collect()) == [False, True, True]
+
+
+@pytest.mark.parametrize("size", [32 << 20, 8])
+def test_batches_give_what_one_batch_gives(spark, docs, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(base, "FILTER_BYTES", size)  # a filter that is too small passes all, and loses nothing
+    index = exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index")
+    ranked = docs.orderBy("doc_id").collect()
+    got = []
+    for i in range(0, 5):
+        part = spark.createDataFrame(ranked[i * len(ranked) // 5 : (i + 1) * len(ranked) // 5], docs.schema)
+        got += [r["doc_id"] for r in exact_dedup.exact_dedup(part, index=index).collect()]
+        index = exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index")  # opened again
+    assert sorted(got) == sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect())
+    seen = {}
+    for r in ranked:
+        seen.setdefault(r["text"], r["doc_id"])
+    assert sorted(got) == sorted(seen.values()) and len(got) < len(ranked)
+
+
+def test_ids_that_are_strings(spark):
+    docs = spark.createDataFrame([("b", "t"), ("a", "t"), (None, "t"), ("c", "u")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()) == ["a", "c"]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_hits_are_verified_by_their_bytes(spark, monkeypatch, tmp_path, shared):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(exact_dedup, "digest", lambda text: F.when(text.isNotNull(), F.unhex(F.lit("00"))))
+    index = exact_dedup.LsmIndex(spark, f"file://{tmp_path}/index") if shared else None
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id bigint, text string")
-    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()) == [1, 2, 4]
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs, index=index).collect()) == [1, 2, 4]
+    if shared:
+        more = spark.createDataFrame([(5, "b"), (6, "c"), (7, "c"), (8, None)], "doc_id bigint, text string")
+        assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(more, index=index).collect()) == [6, 8]
 
 
 def test_shared_lines(spark):

@@ -110,8 +110,8 @@ def test_filter_misses_nothing_and_packing_loses_nothing():
     levels = lm_scoring.level_of(counts)
     k, c = lm_scoring.unpack(*lm_scoring.pack(keys, counts))
     assert (k == keys).all() and (c == counts).all()
-    bucket = lm_scoring.bucket_of(keys, 7)
-    f = lm_scoring.Filter([lm_scoring.build_filter(keys[bucket == b], levels[bucket == b]) for b in range(7)])
+    bucket = lm_scoring.bucket_of(keys, 7, 56)
+    f = lm_scoring.Filter([lm_scoring.build_filter(keys[bucket == b], levels[bucket == b]) for b in range(7)], 56)
     got = f.levels(keys)
     assert (got >= levels).all() and (got > levels).mean() < 0.05
     assert (f.levels(rng.integers(0, 1 << 55, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
@@ -154,6 +154,85 @@ def test_identifiers(spark):
     assert [(r["value"], r["kind"], r["score"]) for r in given] == [("1999", "card", 1.0)]
 
 
+def plain_identifiers(texts, rounds=pii.ROUNDS):
+    """{(id, kind, value, start, end)} by dicts and loops; texts have single spaces and newlines between tokens."""
+    import re
+
+    found = []
+    for i, text in texts.items():
+        spans = pii.seeds_in(text)
+        for m in re.finditer(r"\S+", text):
+            a, b = pii.stripped(m[0])
+            begin, end = m.start() + a, m.start() + b
+            if (begin, end) in spans:
+                spans.remove((begin, end))
+            elif any(x < end and begin < y for x, y in spans) or not m[0][a:b]:
+                continue
+            found.append((i, text[begin:end], begin, end, m.start(), m.end()))
+        found += [(i, text[x:y], x, y, x, y) for x, y in spans]
+    edges, seeds, marked = {}, {}, lambda v: any(c.isdigit() or c == "@" for c in v)
+    strip = lambda w: (w[slice(*pii.stripped(w))] or w).lower()
+    contexts = {}
+    for f in found:
+        i, value, begin, end, lo, hi = f
+        line = texts[i][:lo].rsplit("\n", 1)[-1].split()[-2:]
+        left = [strip(w) for w in ["^"] * (2 - len(line)) + line]
+        right = texts[i][hi:].split("\n", 1)[0].split()[:1]
+        after = strip(right[0]) if right else "$"
+        own = ["L " + " ".join(left)]
+        if marked(value):
+            s = pii.shape(value)
+            own += [f"S {s}", f"LS {left[1]} {s}", f"SR {s} {after}"]
+        contexts[f] = own
+        if kind := pii.seed_kind(value):
+            seeds[value] = kind
+    several = Counter(p for p, _ in {(contexts[f][0], f[1]) for f in found if f[1] in seeds})
+    found = [f for f in found if marked(f[1]) or several[contexts[f][0]] >= pii.CONTEXT_SEEDS and any(c.isalpha() for c in f[1])]
+    for f in found:
+        for p in contexts[f]:
+            edges.setdefault(p, set()).add(f[1])
+    score = {f[1]: {k: float(seeds.get(f[1]) == k) for k in pii.KINDS} for f in found}
+    for _ in range(rounds):
+        trust = {}
+        for p, values in edges.items():
+            s = {k: sum(score[v][k] for v in values) for k in pii.KINDS}
+            unknown = sum(1 - min(1, sum(score[v].values())) for v in values)
+            weight = pii.UNKNOWN_BARE if p.startswith("L ") else pii.UNKNOWN_SHAPED
+            trust[p] = {k: t if (t := s[k] / (sum(s.values()) + weight * unknown + pii.DOUBT)) >= pii.PATTERN_FROM else 0.0 for k in pii.KINDS}
+        for v in score:
+            if v not in seeds:
+                score[v] = {k: round(1 - math.prod(1 - trust[p][k] for p, values in edges.items() if v in values), 9) for k in pii.KINDS}
+    return {(i, max(pii.KINDS, key=lambda k: (score[v][k], -pii.KINDS.index(k))), v, a, b) for i, v, a, b, _, _ in found if max(score[v].values()) >= pii.REPORT_FROM}
+
+
+def pii_texts():
+    rng = np.random.default_rng(10)
+    luhn = [n for n in range(4000_0000_0000_0000, 4000_0000_0000_0900) if pii.luhn(str(n))]
+    texts = {}
+    for i in range(60):
+        kind = i % 6
+        texts[i] = prose(1000 + i, 12) + "\n" + {
+            0: f"please write to a{i}.b@mail.example.org today, or see 10.0.{i}.7 there",
+            1: f"please write to {rng.choice(['Jonathan', 'marie-claire', 'ops_team'])}, if it is urgent",
+            2: f"paid with card {luhn[i]} at noon (ref 2024-{i})",
+            3: f"paid with card {5100_0000_0000_0001 + 7 * i} at noon",
+            4: f'{{"to":"x{i}@y.net","n":{i}}} version 1.{i} of {i} files.',
+            5: f"in the room {i} at {i}:30 were {i % 7} of us, and we went to {rng.choice(['town', 'sleep', 'Paris'])}",
+        }[kind]
+    return texts
+
+
+def test_identifiers_against_plain_loops(spark):
+    texts = pii_texts()
+    got = pii.identifiers(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["kind"], r["value"], r["start"], r["end"]) for r in got} == plain_identifiers(texts)
+    found = {r["value"]: r["kind"] for r in got if not r["seed"]}
+    assert found.get("Jonathan") == "email" and "town" not in found, "a name is found by the words before it"
+    assert any(len(v) == 16 and k == "card" for v, k in found.items())
+    given = pii.identifiers(spark.createDataFrame([(1, "user alice logged in"), (2, "user bob logged in"), (3, "user carol logged in, user dave too"), (4, "alicex")], "doc_id bigint, text string"), seeds={"alice": "secret", "bob": "secret", "carol": "secret"})
+    assert {(r["doc_id"], r["value"]) for r in given.collect()} == {(1, "alice"), (2, "bob"), (3, "carol")}, "the words before dave are 'in, user'"
+
+
 def test_candidates_against_plain_splitting(spark, docs):
     import re
 
@@ -207,3 +286,7 @@ def test_top_k_against_all_products(spark, monkeypatch, lists):
         best = sorted((j for j in range(300) if j != q), key=lambda j: (-s[q, j], j))[:6]
         assert [got[(q, i + 1)] for i in range(6)] == [(j, s[q, j]) for j in best]
     assert len(got) == 1800
+    some = topk.top_k(v.repartition(3), 6, lists, queries=v.where("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, some)) == sorted((q, rank, *x) for (q, rank), x in got.items() if q % 50 == 0)
+    with pytest.raises(TypeError):
+        topk.top_k(v.withColumn("vec_id", F.col("vec_id").cast("string")))

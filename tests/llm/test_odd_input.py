@@ -87,8 +87,13 @@ def test_lm_scoring(docs, nothing):
         assert lm_scoring.score(nothing, broadcast_bytes=limit).collect() == []
 
 
-def test_pii(docs, nothing):
+def test_pii(spark, docs, nothing):
     assert pii.identifiers(docs).collect() == [] and pii.identifiers(nothing).collect() == []
+    rows = [(1, "mail a@b.org now"), (1, "mail a@b.org now"), (2, "mail c@d.org now"), (None, "mail e@f.org"), (None, None), (3, ""), (4, " \n"), (5, "x" * 60_000 + " g@h.org " + "y" * 60_000), (6, "mail Ann now"), (7, "é\nmail 😀 i@j.org")]
+    out = pii.identifiers(odd_docs(spark, rows))
+    assert out.columns == ["doc_id", "kind", "value", "start", "end", "score", "seed"]
+    got = sorted((str(r["doc_id"]), r["value"], r["start"], r["end"], r["seed"]) for r in out.collect())
+    assert got == sorted([("1", "a@b.org", 5, 12, True)] * 2 + [("2", "c@d.org", 5, 12, True), ("None", "e@f.org", 5, 12, True), ("5", "g@h.org", 60_001, 60_008, True), ("7", "i@j.org", 9, 16, True), ("6", "Ann", 5, 8, False)])
 
 
 def test_quality(docs, nothing, labels):
