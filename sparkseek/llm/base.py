@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -61,8 +62,10 @@ def release(df: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Let go of what ended jobs left in the driver, so that Spark deletes their shuffle files before the next job needs the disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python held, the second finds it gone
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def clear(spark: SparkSession, *keep: DataFrame) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ BROADCAST_BYTES = 64 << 20
 FILTER_BYTES_OF_TEXT = ORDER * BITS_PER_EVENT / 8 / 2
 #: Bytes of text whose n-grams are asked for at once, and packed bytes of n-grams that a part of the filter gets, about.
 CHUNK = 8 << 20
-PART = 16 << 20
+PART = 8 << 20
 #: Weights of the orders in the mixture, from one word to ORDER words, and what is taken off a count of several words,
 #: so that a run of words that has been seen once says less than one that has been seen twice.
 WEIGHTS = (0.1, 0.3, 0.6)
@@ -114,21 +115,23 @@ class Filter:
         return out
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences, the bytes of like weight together, so that those that are 0 compress away; counts.
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, the bytes of like weight together, and counts, compressed.
 
     A count is a byte, and 255 says that the count is with the others of its kind at the end.
     """
     gaps = np.diff(keys, prepend=np.uint64(0))
     large = np.flatnonzero(counts >= 255)
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+    parts = [np.array([len(keys)], np.int64), np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T), np.minimum(counts, 255).astype(np.uint8), counts[large].astype(np.int64)]
+    return zstandard.compress(b"".join(x.tobytes() for x in parts), 1)
 
 
-def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(keys) // 8
-    gaps = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-    out = np.frombuffer(counts, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(counts, np.int64, offset=n)
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.uint64).ravel()
+    out = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, offset=8 + 9 * n)
     with np.errstate(over="ignore"):
         return np.cumsum(gaps, dtype=np.uint64), out
 
@@ -139,7 +142,7 @@ def _found(texts: pa.Array, order: int, bits: int) -> tuple[np.ndarray, list[tup
     return first, [ngrams(h, first, n, bits) for n in range(1, order + 1)]
 
 
-def _sent(keys: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+def _sent(keys: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, list[bytes]]:
     """(buckets, packed distinct keys and counts of each); the keys go up from bucket to bucket."""
     distinct, counts = np.unique(keys, return_counts=True)
     cuts = np.searchsorted(bucket_of(distinct, buckets, bits), np.arange(buckets + 1))
@@ -148,11 +151,11 @@ def _sent(keys: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, list[t
 
 
 def _counts(docs: DataFrame, buckets: int, order: int, bits: int) -> DataFrame:
-    """(bucket, keys, counts): the distinct n-grams of each few megabytes, by bucket, with how often they stand there."""
+    """(bucket, counts): the distinct n-grams of each few megabytes, by bucket, with how often they stand there."""
 
     def sent(keys: list[np.ndarray]) -> pa.RecordBatch:
         some, packed = _sent(np.concatenate(keys), buckets, bits)
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["bucket", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -169,7 +172,7 @@ def _counts(docs: DataFrame, buckets: int, order: int, bits: int) -> DataFrame:
         if size:
             yield from map(sent, held)
 
-    return arrow_map(docs, run, "bucket int, keys binary, counts binary")
+    return arrow_map(docs, run, "bucket int, counts binary")
 
 
 def _summed(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +182,10 @@ def _summed(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[begin], np.add.reduceat(c, begin) if len(k) else c
 
 
-def _joined(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(k, c) for k, c in zip(keys, counts)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts) of all on end, and where each begins (one more entry)."""
+    parts = [unpack(p) for p in packed]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.cumsum([0, *[len(p[0]) for p in parts]])
 
 
 def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets: int = 1, bits: int = 64) -> DataFrame:
@@ -192,13 +196,13 @@ def build(docs: DataFrame, order: int = ORDER, text_col: str = "text", buckets:
     """
 
     def part(table: pa.Table) -> pa.Table:
-        keys, counts = _summed(*_joined(table.column("keys").to_pylist(), table.column("counts").to_pylist()))
+        keys, counts = _summed(*_joined(table.column("counts").to_pylist())[:2])
         single = keys & _TAG == 0
         data = build_filter(keys, level_of(counts))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.array([data.tobytes()], pa.binary()), "tokens": pa.array([int(counts[single].sum())]), "types": pa.array([int(single.sum())])})
 
     some = pruned(docs, text=text_col).where("text IS NOT NULL")
-    return materialise(arrow_groups(_counts(some, buckets, order, bits).repartition(buckets, "bucket").groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
+    return materialise(arrow_groups(_counts(some, buckets, order, bits).repartitionById(buckets, "bucket").groupBy("bucket"), part, "bucket int, words binary, tokens bigint, types bigint"), "ngrams")
 
 
 def _log_probabilities(levels: list[np.ndarray], last: list[np.ndarray], n: int, tokens: int, types: int) -> np.ndarray:
@@ -322,12 +326,11 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
                 del keys
                 for i in range(0, len(some), 64):
                     part = packed[i : i + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(some[i : i + 64].astype(np.int32)), pa.array([k for k, _ in part], pa.binary()), pa.array([c for _, c in part], pa.binary())], names=["chunk", "bucket", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(some[i : i + 64].astype(np.int32)), pa.array(part, pa.binary())], names=["chunk", "bucket", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         """The levels of each chunk's keys; for the bucket itself (chunk null), how many words it has, and distinct ones."""
-        asked = table.column("keys").to_pylist()
-        keys, counts = _joined(asked, table.column("counts").to_pylist())
+        keys, counts, cuts = _joined(table.column("counts").to_pylist())
         chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
         del table
         distinct, total = _summed(keys, counts)
@@ -336,9 +339,7 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
         part = Filter([build_filter(distinct, level_of(total))])  # a filter of one part, whose bucket every key is in
         levels = part.levels(distinct).astype(np.uint8)
         del total, single, part
-        cuts, out = np.cumsum([0, *[len(a) // 8 for a in asked]]), []
-        for lo, hi in zip(cuts, cuts[1:]):
-            out.append(levels[np.searchsorted(distinct, keys[lo:hi])].tobytes())
+        out = [zstandard.compress(levels[np.searchsorted(distinct, keys[lo:hi])].tobytes(), 1) for lo, hi in zip(cuts, cuts[1:])]
         return pa.table(
             {
                 "chunk": pa.array([*chunks, None], pa.int64()),
@@ -350,8 +351,8 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
         )
 
     own = materialise(arrow_map(chosen.toDF(*names), cut, "chunk bigint, rows binary"), "chunks", "none")
-    asked = arrow_map(own, ask, "chunk bigint, bucket int, keys binary, counts binary").repartition(buckets, "bucket").groupBy("bucket")
-    levels = materialise(arrow_groups(asked, answer, "chunk bigint, bucket int, data binary, tokens bigint, types bigint"), "levels", "zstd")
+    asked = arrow_map(own, ask, "chunk bigint, bucket int, counts binary").repartitionById(buckets, "bucket").groupBy("bucket")
+    levels = materialise(arrow_groups(asked, answer, "chunk bigint, bucket int, data binary, tokens bigint, types bigint"), "levels", "none")
     del asked
     settle(own.sparkSession)  # the n-grams that were exchanged aren't needed any more
     tokens, types = (x or 0 for x in levels.agg(F.sum("tokens"), F.sum("types")).first())
@@ -362,7 +363,7 @@ def _scored_by_exchange(chosen: DataFrame, size: int, order: int, schema: T.Stru
         columns = _rows(rows[0][1])
         first, found = _found(columns[-1], order, bits)
         _, inverse = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
-        flat = np.frombuffer(b"".join(r[1] for r in rows[1:]), np.uint8)[inverse]
+        flat = np.frombuffer(b"".join(zstandard.decompress(r[1]) for r in rows[1:]), np.uint8)[inverse]
         del inverse
         each = np.split(flat.astype(np.int64), np.cumsum([len(k) for _, k in found])[:-1])
         logs = _log_probabilities(each, [last for last, _ in found], int(first[-1]), tokens, types)

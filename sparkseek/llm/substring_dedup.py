@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import _power_tables, arrow_map, materialise, mix, of_all, pruned, slices, text_buffer, words
+from .base import _power_tables, arrow_map, materialise, mix, of_all, pruned, settle, slices, text_buffer, words
 
 #: Words that a passage must have at least to count as a repeat.
 MIN_WORDS = 50
@@ -191,6 +191,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     anchors = _anchors(some, min_words)
     known = anchors.groupBy("hash", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count("*") > HOT).alias("hot")).where("lo <> hi")
     shared = materialise(anchors.join(known, ["hash", "check"]), "anchors")
+    settle(docs.sparkSession)
     partner = F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo"))
     whole = shared.where("place < 0")
     place = F.shiftleft("place", 1) + F.col("hot").cast("int")

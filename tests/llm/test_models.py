@@ -108,7 +108,7 @@ def test_filter_misses_nothing_and_packing_loses_nothing():
     keys = np.unique(rng.integers(0, 1 << 55, 20_000, dtype=np.uint64) * np.uint64(2))
     counts = rng.geometric(0.2, len(keys)) ** 3
     levels = lm_scoring.level_of(counts)
-    k, c = lm_scoring.unpack(*lm_scoring.pack(keys, counts))
+    k, c = lm_scoring.unpack(lm_scoring.pack(keys, counts))
     assert (k == keys).all() and (c == counts).all()
     bucket = lm_scoring.bucket_of(keys, 7, 56)
     f = lm_scoring.Filter([lm_scoring.build_filter(keys[bucket == b], levels[bucket == b]) for b in range(7)], 56)
