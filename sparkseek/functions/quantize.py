@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +68,13 @@ def bit_planes(codes: Column, bits: int) -> Column:
 def half_values(vector: Column) -> Column:
     """The values rounded to half precision, as floats."""
 
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+    def run(v: pa.Array) -> pa.Array:
+        flat = v.flatten()
+        values = pa.array(flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32), mask=np.asarray(flat.is_null()))
+        ends = np.cumsum(np.asarray(pc.list_value_length(v).fill_null(0)), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), values, mask=v.is_null() if v.null_count else None)
 
-    return F.pandas_udf(run, "array<float>")(vector)
+    return F.arrow_udf(run, "array<float>")(vector.cast("array<float>"))
 
 
 def sparse_code(value: Column, upper: Column | float, bits: int) -> Column:
@@ -174,9 +177,10 @@ class ProductQuantizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array(batch.column(batch.schema.names.index(vector_col)).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                x = batch.column(batch.schema.names.index(vector_col)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 codes = np.stack([((x[:, None, i * width : (i + 1) * width] - b[None]) ** 2).sum(2).argmin(1) for i, b in enumerate(books)], 1) if batch.num_rows else np.zeros((0, len(books)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, out_col])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(books)), pa.array(codes.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out_col])
 
         return df.mapInArrow(run, df.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema)
 

@@ -2,45 +2,89 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stemmer import stem
 
 MAX_TOKEN_BYTES = 40
 STOP_WORDS = tuple("s t a as at be by if in is it no of on or to and are but for not the was www into such that then they this will with their there these".split())
-#: Letters, numbers and underscores; the same class on every engine.
-WORD = r"([\p{L}\p{N}_]+)"
-
-
-def tokenize(text: Column) -> Column:
-    """Runs of letters, numbers and underscores."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
+#: Letters and what counts as one (the Alphabetic property), numbers of all kinds, and underscores.
+WORD = r"[\p{Alphabetic}\p{N}_]+"
+_WORD = regex.compile(WORD)
+#: Distinct tokens whose terms a worker remembers.
+REMEMBERED = 1 << 19
+
+
+class Terms:
+    """The term of each token: lower case, and its stem if wanted; none for a token that is too long or a stop-word."""
+
+    def __init__(self, stemming: bool = True, max_bytes: int = MAX_TOKEN_BYTES):
+        self.stemming, self.max_bytes, self.known = stemming, max_bytes, {}
+
+    def of(self, token: str) -> str | None:
+        if token in self.known:
+            return self.known[token]
+        term = None
+        if len(token) <= self.max_bytes and len(token.encode()) <= self.max_bytes:
+            term = token.lower()
+            term = None if term in STOP_WORDS else stem(term) if self.stemming else term
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[token] = term
+        return term
+
+    def listed(self, text: str) -> list[str]:
+        """In the order of the text, duplicates too."""
+        return [t for t in map(self.of, _WORD.findall(text)) if t is not None]
+
+    def counted(self, text: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for token, n in Counter(_WORD.findall(text)).items():
+            if (term := self.of(token)) is not None:
+                out[term] = out.get(term, 0) + n
+        return out
 
 
 def terms(text: Column, stemming: bool = True, max_bytes: int = MAX_TOKEN_BYTES) -> Column:
-    """Tokens of at most max_bytes bytes in lower case, without stop-words, stemmed; duplicates stay."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    short = F.filter(tokenize(text), lambda t: F.octet_length(t) <= max_bytes)
-    kept = F.filter(F.transform(short, F.lower), lambda t: ~F.array_contains(stop, t))
-    return stems(kept) if stemming else kept
-
-
-def stems(words: Column) -> Column:
-    """English stems of an array of lower-case words; each distinct word of a batch is stemmed once."""
-
-    def run(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def one(w: str) -> str:
-            if w not in known:
-                known[w] = stem(w)
-            return known[w]
-
-        return batch.map(lambda ws: None if ws is None else [one(w) for w in ws])
-
-    return F.pandas_udf(run, "array<string>")(words)
+    """Tokens of at most max_bytes bytes in lower case, without stop-words, stemmed; duplicates stay. Null gives null."""
+    known = Terms(stemming, max_bytes)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else known.listed(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(text)
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str, stemming: bool = True, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+    """(id, term, count, length): a row for each distinct term of each row of docs with a text; length counts all terms.
+
+    One pass over the texts, in Arrow batches, and nothing is shuffled. A token is looked up once a document.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms(stemming, max_bytes)
+        for batch in batches:
+            ids, texts = batch.columns
+            for at in range(0, batch.num_rows, 1000):
+                counts = [known.counted(x) for x in texts.slice(at, 1000).to_pylist()]
+                n = np.array([len(c) for c in counts])
+                total = np.array([sum(c.values()) for c in counts], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(counts)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, 1000).take(rows), pa.array([t for c in counts for t in c], pa.string()), pa.array([x for c in counts for x in c.values()], pa.int64()), pa.array(np.repeat(total, n))],
+                    names=["id", "term", "count", "length"],
+                )
+
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return some.mapInArrow(run, f"id {kind}, term string, count bigint, length bigint")
 
 
 def tf(count: Column, length: Column, average: Column, k1: float, b: float) -> Column:

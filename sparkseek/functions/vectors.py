@@ -10,7 +10,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,14 +70,16 @@ def plane_dot(a: Column, b: Column, bits: int, plane_order: str = "most_first")
     """Inner product of codes stored as bit planes: arrays of `bits` arrays of packed bytes.
 
     plane_order tells what plane 0 is worth: "most_first" takes it for the highest bit, as the packer writes it;
-    "least_first" for the lowest.
+    "least_first" for the lowest. Pairs of planes are counted for a whole Arrow batch at once.
     """
-    total = F.lit(0.0)
-    for i in range(bits):
-        for j in range(bits):
-            weight = (bits - 1 - i) + (bits - 1 - j) if plane_order == "most_first" else i + j
-            total = total + binary_dot(F.element_at(a, i + 1), F.element_at(b, j + 1)) * F.lit(float(1 << weight))
-    return total
+    worth = [1 << (bits - 1 - i if plane_order == "most_first" else i) for i in range(bits)]
+
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = (v.astype(np.uint8).reshape(len(v), bits, -1) for v in (x, y))
+        return sum(float(worth[i] * worth[j]) * np.bitwise_count(x[:, i] & y[:, j]).sum(1, dtype=np.int64) for i in range(bits) for j in range(bits))
+
+    flat = lambda planes: F.when(F.size(planes) == bits, F.flatten(planes))
+    return _pairwise(product)(flat(a), flat(b))
 
 
 def plane_hamming(a: Column, b: Column, bits: int) -> Column:
@@ -87,40 +90,64 @@ def plane_hamming(a: Column, b: Column, bits: int) -> Column:
 # == half precision and batches, through Arrow
 
 
-def _half_pairs(kernel: Callable[[np.ndarray, np.ndarray], float]) -> Callable:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            if x is None or y is None or len(x) != len(y):
-                out.append(None)
-            else:
-                out.append(kernel(np.asarray(x, np.float16), np.asarray(y, np.float16)))
-        return pd.Series(out, dtype="float64")
+def _rows(a: pa.ListArray, at: np.ndarray, width: int) -> np.ndarray:
+    return a.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _pairwise(kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """A kernel over matrices as a column of two arrays: rows of one length go to it together, from Arrow's buffers.
+
+    A null, also within a vector, and vectors of different lengths give null.
+    """
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        size = [np.where(np.asarray(x.is_null()), -1, np.asarray(pc.list_value_length(x).fill_null(-1))) for x in (a, b)]
+        out, known = np.zeros(len(a)), np.zeros(len(a), bool)
+        same = (size[0] == size[1]) & (size[0] >= 0)
+        for n in np.unique(size[0][same]):
+            at = np.flatnonzero(same & (size[0] == n))
+            if n:
+                x, y = (_rows(v, at, n).astype(np.float64) for v in (a, b))
+                if a.values.null_count or b.values.null_count:  # nulls within are NaN by now
+                    whole = ~(np.isnan(x) | np.isnan(y)).any(1)
+                    at, x, y = at[whole], x[whole], y[whole]
+                out[at] = kernel(x, y)
+            known[at] = True
+        return pa.array(out, pa.float64(), mask=~known)
+
+    return F.arrow_udf(run, "double")
+
 
-    return F.pandas_udf(run, "double")
+def _half(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float16)
 
 
 def half_dot(a: Column, b: Column) -> Column:
     """Inner product of the vectors' half-precision roundings, summed in double."""
-    return _half_pairs(lambda x, y: float(x.astype(np.float64) @ y.astype(np.float64)))(a, b)
+    return _pairwise(lambda x, y: (_half(x).astype(np.float64) * _half(y).astype(np.float64)).sum(1))(a, b)
 
 
 def half_euclidean(a: Column, b: Column) -> Column:
-    return _half_pairs(lambda x, y: float(np.sqrt(((x.astype(np.float64) - y.astype(np.float64)) ** 2).sum())))(a, b)
+    return _pairwise(lambda x, y: np.sqrt(((_half(x).astype(np.float64) - _half(y).astype(np.float64)) ** 2).sum(1)))(a, b)
 
 
 def half_hamming(a: Column, b: Column) -> Column:
     """Bits that differ between the half-precision representations."""
-    return _half_pairs(lambda x, y: float(np.bitwise_count(x.view(np.uint16) ^ y.view(np.uint16)).sum()))(a, b)
+    return _pairwise(lambda x, y: np.bitwise_count(_half(x).view(np.uint16) ^ _half(y).view(np.uint16)).sum(1, dtype=np.int64))(a, b)
 
 
 def vector_sha256(a: Column) -> Column:
-    """SHA-256, in hexadecimal, of the vector's elements as little-endian 32-bit floats."""
+    """SHA-256, in hexadecimal, of the vector's elements as little-endian 32-bit floats; the bytes are Arrow's buffer."""
 
-    def packed(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    def packed(v: pa.Array) -> pa.Array:
+        n = np.asarray(pc.list_value_length(v).fill_null(0)).astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+        data = v.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        valid = pa.array(np.asarray(v.is_valid())) if v.null_count else None
+        bits = valid.buffers()[1] if valid is not None else None
+        return pa.Array.from_buffers(pa.binary(), len(v), [bits, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
 
-    return F.sha2(F.pandas_udf(packed, "binary")(a), 256)
+    return F.sha2(F.arrow_udf(packed, "binary")(a.cast("array<float>")), 256)
 
 
 # == metrics

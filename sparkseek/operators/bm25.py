@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -16,19 +16,17 @@ BUCKETS = 512
 def term_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, wanted: DataFrame | None = None) -> DataFrame:
     """(id, term, count, length): how often each term stands in each document, and the document's terms in all.
 
-    With wanted, a table of terms, only these are counted; others are dropped before the shuffle.
+    A row of docs is a document. With wanted, a table of terms, only these are given.
     """
-    words = docs.select(F.col(id_col).alias("id"), t.terms(F.col(text_col), stemming).alias("terms")).where("terms IS NOT NULL")
-    each = words.select("id", F.size("terms").cast("bigint").alias("length"), F.explode("terms").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted.select("term"), "term", "left_semi")
-    return each.groupBy("id", "length", "term").agg(F.count("*").alias("count"))
+    each = t.term_counts(docs, id_col, text_col, stemming)
+    return each if wanted is None else each.join(wanted.select("term"), "term", "left_semi").select("id", "term", "count", "length")
 
 
-def corpus(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(n_docs, avgdl) of the documents with a text, by tokens that count."""
-    n = F.size(t.terms(F.col(text_col), stemming=False))
-    return docs.where(F.col(text_col).isNotNull()).select(n.alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+def corpus(docs: DataFrame, id_col: str = "id", text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """(n_docs, avgdl) of the documents with a text, by tokens that count; from their postings if these are known."""
+    some = docs.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("n_docs"))
+    total = (term_table(docs, id_col, text_col, stemming=False) if postings is None else postings).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    return some.crossJoin(total).select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, query_id_col: str = "query_id", text_col: str = "text", stemming: bool = True) -> DataFrame:
@@ -36,31 +34,38 @@ def query_terms(queries: DataFrame, query_id_col: str = "query_id", text_col: st
     return queries.select(F.col(query_id_col).alias("query_id"), F.explode(F.array_distinct(t.terms(F.col(text_col), stemming))).alias("term"))
 
 
+def scored(postings: DataFrame, asked: DataFrame, n_docs: Column, avgdl: Column, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) from postings of the terms asked, all documents' of these terms, as df is counted on them."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weight = t.tf(F.col("count"), F.col("length"), avgdl, k1, b) * t.idf(n_docs, F.col("df"))
+    weighted = postings.join(df, "term").select("term", "id", weight.alias("w"))
+    return weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+
+
 def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, avgdl: float | None = None, stemming: bool = True, id_col: str = "id", text_col: str = "text", query_id_col: str = "query_id", query_text_col: str = "text") -> DataFrame:
-    """(query_id, id, score) of every document that has a term of the query.
+    """(query_id, id, score) of every document that has a term of the query, without an index.
 
     Document frequencies are of the documents given. avgdl defaults to their mean. Only postings of terms that some
     query has are kept, before document frequencies are counted, so the shuffle is of those alone.
     """
     asked = query_terms(queries, query_id_col, query_text_col, stemming)
-    wanted = asked.select("term").distinct()
-    table = term_table(docs, id_col, text_col, stemming, wanted)
-    totals = corpus(docs, id_col, text_col)
-    if avgdl is not None:
-        totals = totals.withColumn("avgdl", F.lit(float(avgdl)))
-    df = table.groupBy("term").agg(F.count("*").alias("df"))
-    weight = t.tf(F.col("count"), F.col("length"), F.col("avgdl"), k1, b) * t.idf(F.col("n_docs"), F.col("df"))
-    postings = table.join(df, "term").crossJoin(totals).select("term", "id", weight.alias("w"))
-    return postings.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    table = term_table(docs, id_col, text_col, stemming, asked.select("term").distinct())
+    totals = corpus(docs, id_col, text_col).first()
+    mean = avgdl if avgdl is not None else totals["avgdl"]
+    return scored(table, asked, F.lit(totals["n_docs"]), F.lit(mean).cast("double"), k1, b)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, bucketed: bool = False, **options) -> DataFrame:
+def best(found: DataFrame, k: int = 10, bucketed: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best documents of each query, ties to the smallest id.
 
     bucketed keeps one document, the best, of each residue of the id modulo 512 first; ids must be whole numbers.
     """
-    found = scores(docs, queries, **options)
     if bucketed:
-        best = F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("best")
-        found = found.groupBy("query_id", F.pmod(F.col("id"), F.lit(BUCKETS)).alias("bucket")).agg(best).select("query_id", "best.id", "best.score")
+        one = F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("best")
+        found = found.groupBy("query_id", F.pmod(F.col("id"), F.lit(BUCKETS)).alias("bucket")).agg(one).select("query_id", "best.id", "best.score")
     return top_per_query(found, k)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, bucketed: bool = False, **options) -> DataFrame:
+    """(query_id, rank, id, score): the k best documents of each query, ties to the smallest id; see best()."""
+    return best(scores(docs, queries, **options), k, bucketed)

@@ -18,8 +18,11 @@ from ..functions.vectors import METRICS, cosine, dot_codes, literal_vector
 #: Candidates kept for each result wanted, before exact re-ranking.
 OVERSAMPLE = 5
 DIGITS = 6
-#: Queries that are sent to every task, in bytes at most; a larger table of queries is joined instead.
+#: Queries that are sent to every task, in bytes at most; those of a larger table meet the records in tiles.
 QUERY_BYTES = 64 << 20
+#: Scores that a task holds at once, and vectors of a tile.
+SCORES = 1 << 22
+TILE = 4096
 
 
 def check_dimension(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
@@ -81,10 +84,10 @@ def batch_search(
 ) -> DataFrame:
     """(query_id, rank, id, score): the k best records for each row of queries; rank counts from 1.
 
-    where may use columns of both sides, so each query can have its own filter. Where queries are few, by a count of
-    their bytes, and the metric is a product, they go to every task once and each batch of records is scored by one
-    matrix product, of which only k results a query and batch leave the task. Otherwise the sides are joined and
-    Catalyst picks how.
+    where may use columns of both sides, so each query can have its own filter; the sides are then joined, and Catalyst
+    picks how. Without it, a metric that is a product is computed by matrix products of bounded size, of which only k
+    results a query and batch of records leave the task: queries go to every task once where they are few, by a count
+    of their bytes, and meet the records tile by tile otherwise.
     """
     m = METRICS.get(metric)
     if m is None:
@@ -92,9 +95,8 @@ def batch_search(
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_col).alias("query"), *[c for c in queries.columns if c not in (query_id_col, query_col)])
     if metric in ("cosine", "dotproduct") and where is None:
         size = q.agg(F.sum(F.size("query") * 8)).first()[0] or 0
-        if size <= QUERY_BYTES:
-            hits = _scored_by_batches(records, q, k, metric, id_col, vector_col, exclude_self)
-            return _ranked(hits, m, k)
+        way = _scored_by_batches if size <= QUERY_BYTES else _scored_by_tiles
+        return _ranked(way(records, q, k, metric, id_col, vector_col, exclude_self), m, k)
     pairs = records.crossJoin(q) if where is None else records.join(q, where)
     if exclude_self:
         pairs = pairs.where(F.col("query_id") != F.col(id_col))
@@ -107,6 +109,34 @@ def _ranked(hits: DataFrame, m, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _matrix(lists: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their vectors) of those that are whole and of this length, of the first one's if none is given."""
+    size = np.diff(lists.offsets.to_numpy())
+    has = ~np.asarray(lists.is_null())
+    dim = dim if dim is not None else int(size[has][0]) if has.any() else 0
+    right = np.flatnonzero((size == dim) & has)
+    return right, lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(right), dim)
+
+
+def _best(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, metric: str, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best records of each query and all that tie with the last, some queries at a time."""
+    if not len(x):
+        return
+    long = np.linalg.norm(x, axis=1)
+    step = max(1, SCORES // len(x))
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        s = part @ x.T
+        if metric == "cosine":
+            both = np.linalg.norm(part, axis=1)[:, None] * long[None, :]
+            s = np.where(both > 0, s / np.where(both > 0, both, 1), np.nan)
+        s = np.where(np.isnan(s), -np.inf, np.round(s, DIGITS) + 0.0)
+        more = min(len(x), k)
+        cut = np.partition(s, len(x) - more, axis=1)[:, len(x) - more]
+        row, col = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(row + lo)), ids.take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "id", "score"])
+
+
 def _scored_by_batches(records: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str, exclude_self: bool) -> DataFrame:
     rows = queries.where("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("query")).collect()
     dims = {len(r["query"]) for r in rows}
@@ -120,28 +150,47 @@ def _scored_by_batches(records: DataFrame, queries: DataFrame, k: int, metric: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
         names = pa.array(names, arrow)
-        length = np.linalg.norm(q, axis=1)
         for batch in batches:
-            lists = batch.column("vector")
-            right = np.flatnonzero((np.diff(lists.offsets.to_numpy()) == dim) & ~np.asarray(lists.is_null()))
-            if not len(right) or not len(names):
-                continue
-            x = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            s = x @ q.T
-            if metric == "cosine":
-                both = np.linalg.norm(x, axis=1)[:, None] * length[None, :]
-                s = np.where(both > 0, s / np.where(both > 0, both, 1), np.nan)
-            s = np.where(np.isnan(s), -np.inf, np.round(s, DIGITS) + 0.0)
-            ids = batch.column("id").take(pa.array(right))
-            more = min(len(right), k + (1 if exclude_self else 0))
-            cut = -np.partition(-s, more - 1, axis=0)[more - 1]
-            row, col = np.nonzero((s >= cut[None, :]) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(col)), ids.take(pa.array(row)), pa.array(s[row, col])], names=["query_id", "id", "score"])
+            if len(names):
+                right, x = _matrix(batch.column("vector"), dim)
+                yield from _best(names, q, batch.column("id").take(pa.array(right)), x, metric, k + int(exclude_self))
 
     hits = records.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
     return hits.where("query_id <> id") if exclude_self else hits
 
 
+def _tiles(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """(keys, data, dim): TILE vectors of one length in a row, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            for dim in np.unique(size[~np.asarray(batch.column(1).is_null())]).tolist():
+                right, x = _matrix(batch.column(1), dim)
+                for lo in range(0, len(right), TILE):
+                    own = batch.column(0).take(pa.array(right[lo : lo + TILE]))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([x[lo : lo + TILE].tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["keys", "data", "dim"])
+
+    some = table.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    return some.mapInArrow(run, f"keys array<{table.schema[key].dataType.simpleString()}>, data binary, dim int")
+
+
+def _scored_by_tiles(records: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str, exclude_self: bool) -> DataFrame:
+    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), records.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, ids = (batch.column(c).slice(i, 1).flatten() for c in ("q_keys", "keys"))
+                q, x = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, batch.column("dim")[i].as_py()) for c in ("q_data", "data"))
+                yield from _best(names, q, ids, x, metric, k + int(exclude_self))
+
+    left = _tiles(queries, "query_id", "query").select(F.col("keys").alias("q_keys"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(_tiles(records, id_col, vector_col)).where("q_dim = dim")
+    hits = pairs.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
+    return hits.where("query_id <> id") if exclude_self else hits
+
+
 def neighbours(records: DataFrame, record_id, k: int = 10, id_col: str = "id", vector_col: str = "dense", metric: str = "cosine") -> DataFrame:
     """(query_id, rank, id, score) of the records nearest to a record, itself left out."""
     own = records.where(F.col(id_col) == F.lit(record_id)).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, SearchError
+from ..shared import shared_root
 from . import ast as a
 from .parser import parse
 
 SPARK_TYPES = {"string": "string", "int": "bigint", "double": "double", "date": "date", "boolean": "boolean"}
 EID, RID = "eid", "rid"
+#: Rounds of a fixpoint after which what they found is written as one table.
+COMPACT = 4
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "date": lambda x: F.coalesce(F.try_to_date(x, "yyyy-M-d"), F.try_to_date(x, "d-M-yyyy")),
@@ -100,9 +103,24 @@ class Graph:
     def add_entities(self, name: str, df: DataFrame) -> None:
         self._add("entity", name, df)
 
-    def add_relations(self, name: str, df: DataFrame) -> None:
+    def add_relations(self, name: str, df: DataFrame, check: bool = False) -> None:
+        """Adds facts; with check, only if each role is held by an entity of the role's type."""
+        if check and (bad := self.violations(name, df).first()) is not None:
+            raise SearchError(f"{name}: {bad['role']} {bad['id']} isn't there")
         self._add("relation", name, df)
 
+    def violations(self, name: str, facts: DataFrame | None = None) -> DataFrame:
+        """(role, id) of the roles in facts, by default all of the type, whose holder isn't an entity of the role's type."""
+        if name not in self.relation_types:
+            raise NotFound(f"relationship type {name}")
+        facts = self._facts(("relation", name)) if facts is None else facts
+        found = []
+        for role, kind in self.relation_types[name].roles:
+            there = self._facts(("entity", kind)).select(F.col(EID).alias("id"))
+            held = facts.select(F.lit(role).alias("role"), F.col(role).alias("id")).where("id IS NOT NULL").distinct()
+            found.append(held.join(there, "id", "left_anti").select("role", "id"))
+        return reduce(DataFrame.union, found)
+
     def register(self, name: str, procedure: Callable[..., Column]) -> None:
         """A procedure for expressions: a function of columns, such as a UDF."""
         self.procedures[name] = procedure
@@ -264,11 +282,10 @@ class Graph:
         raise SearchError("a rule depends on its own negation")
 
     def _settled(self, df: DataFrame) -> DataFrame:
-        """Written to the checkpoint folder, which ends its lineage; a folder of our own only where none is set."""
-        context = self.spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkseek-"))
-        return df.checkpoint(eager=True)
+        """Written to the folder that all executors share, which ends its lineage."""
+        path = f"{shared_root(self.spark)}/facts-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _facts(self, key: tuple[str, str]) -> DataFrame:
         tables = self.entities if key[0] == "entity" else self.relations
@@ -286,6 +303,7 @@ class Graph:
             return self._inferred
         total: dict[tuple[str, str], DataFrame] = {}
         extra: dict[tuple[str, str], DataFrame] = {}
+        rounds: dict[tuple[str, str], int] = {}
 
         def every(key: tuple[str, str]) -> DataFrame:
             base = self._facts(key)
@@ -316,6 +334,9 @@ class Graph:
                     if not new.isEmpty():
                         delta[key] = new
                         total[key] = total[key].unionByName(new) if key in total else new
+                        rounds[key] = rounds.get(key, 0) + 1
+                        if rounds[key] % COMPACT == 0:  # so that a plan doesn't grow with the rounds
+                            total[key] = self._settled(total[key])
         out = dict(total)
         for (_, name), parts in extra.items():
             out[("extend", name)] = parts

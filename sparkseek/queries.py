@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 from .functions import quantize, vectors
 from .functions import text as t
 from .functions.filters import and_, is_, or_, parse_filter
-from .operators import ann, bm25, dense, fusion, lookup, sparse
+from .operators import ann, bm25, dense, fusion, index, lookup, sparse
 from .plans.graph import Graph
+from .shared import shared_root
 from .sources import changes as log
 from .sources import records as wire
-from .sources.store import status_summary
+from .sources.store import Collection, Store, status_summary
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,9 +265,14 @@ def hits_with_text(spark, sf_dir):
     return lookup.with_records(dense.search(v, _record(v, 0)), docs, (), text=True)
 
 
-@query("SELECT count(*) AS vectors_count, max(len(embedding)) AS dimension FROM embeddings")
+@query("SELECT count(*) AS vectors_count, max(len(embedding)) AS dimension, 1 AS current_version FROM embeddings")
 def collection_details(spark, sf_dir):
-    return _vectors(spark, sf_dir).agg(F.count("*").alias("vectors_count"), F.max(F.size("dense")).cast("bigint").alias("dimension"))
+    """Of a collection that all vectors are put into."""
+    things = Store(spark, shared_folder(spark)).create(Collection("things", dimension=64))
+    v = _vectors(spark, sf_dir)
+    things.upsert(v.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("document_id"), "dense", F.lit(None).cast("array<struct<dim:bigint,val:float>>").alias("sparse"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("map<string,string>").alias("metadata")))
+    d = things.details()
+    return spark.createDataFrame([(d["vectors_count"], d["dimension"], d["current_version"])], "vectors_count bigint, dimension bigint, current_version int")
 
 
 @query()
@@ -325,6 +330,28 @@ def _asked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Indexes by session, folder and kind: the first query that needs one builds it in the shared folder, others read it.
+_BUILT: dict[tuple, index.Built] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], index.Built]) -> index.Built:
+    key = spark.sparkContext.applicationId, sf_dir, kind
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str, stemming: bool = True) -> index.Built:
+    """The text index of all documents."""
+    return _once(spark, sf_dir, f"text {stemming}", lambda: index.build_text(_documents(spark, sf_dir), shared_folder(spark), stemming=stemming))
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> index.Built:
+    """The sparse index of the counts of terms in all documents."""
+    postings = lambda: text_index(spark, sf_dir, False).table(spark, "postings").select(F.col("term").alias("dim"), "id", F.col("count").cast("double").alias("val"))
+    return _once(spark, sf_dir, "sparse", lambda: index.build_sparse(postings(), shared_folder(spark), bits=6, upper=8.0))
+
+
 @query(f"WITH {_TERMS} SELECT id, term, count(*) AS count FROM terms GROUP BY ALL")
 def tokenize_counts(spark, sf_dir):
     return bm25.term_table(_documents(spark, sf_dir), stemming=False).select("id", "term", "count")
@@ -332,7 +359,8 @@ def tokenize_counts(spark, sf_dir):
 
 @query(f"WITH {_TERMS} SELECT sum(n) / count(*) AS avgdl FROM (SELECT d.doc_id, count(t.id) AS n FROM documents d LEFT JOIN terms t ON t.id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id)")
 def mean_document_length(spark, sf_dir):
-    return bm25.corpus(_documents(spark, sf_dir)).select("avgdl")
+    docs = _documents(spark, sf_dir)
+    return bm25.corpus(docs, postings=text_index(spark, sf_dir, False).table(spark, "postings")).select("avgdl")
 
 
 _BM25 = f"""{_TERMS}, tc AS (SELECT id, term, count(*) AS c FROM terms GROUP BY ALL), dl AS (SELECT id, count(*) AS l FROM terms GROUP BY ALL),
@@ -346,28 +374,34 @@ def _ranked_sql(source: str, k: int = 10) -> str:
     return f"SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
+def _text_search(spark, sf_dir, queries: DataFrame, k: int = 10, bucketed: bool = False, stemming: bool = False) -> DataFrame:
+    return bm25.best(index.text_scores(text_index(spark, sf_dir, stemming), queries), k, bucketed)
+
+
 @query(f"WITH {_BM25} {_ranked_sql('(SELECT * FROM bm WHERE query_id = 0)')}")
 def bm25_topk(spark, sf_dir):
-    return bm25.search(_documents(spark, sf_dir), _asked(spark, sf_dir).where("query_id = 0"), stemming=False)
+    return _text_search(spark, sf_dir, _asked(spark, sf_dir).where("query_id = 0"))
 
 
 @query(f"WITH {_BM25} {_ranked_sql('bm')}")
 def bm25_batch(spark, sf_dir):
+    return _text_search(spark, sf_dir, _asked(spark, sf_dir))
+
+
+@query(f"WITH {_BM25} {_ranked_sql('bm')}")
+def bm25_without_index(spark, sf_dir):
+    """The same from the texts themselves."""
     return bm25.search(_documents(spark, sf_dir), _asked(spark, sf_dir), stemming=False)
 
 
 @query(f"WITH {_BM25}, one AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id, id % 512 ORDER BY score DESC, id) = 1) {_ranked_sql('one')}")
 def bm25_bucketed(spark, sf_dir):
-    return bm25.search(_documents(spark, sf_dir), _asked(spark, sf_dir), bucketed=True, stemming=False)
+    return _text_search(spark, sf_dir, _asked(spark, sf_dir), bucketed=True)
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
-    return bm25.search(_documents(spark, sf_dir), _asked(spark, sf_dir))
-
-
-def _postings(spark, sf_dir) -> DataFrame:
-    return bm25.term_table(_documents(spark, sf_dir), stemming=False).select(F.col("term").alias("dim"), "id", F.col("count").cast("double").alias("val"))
+    return _text_search(spark, sf_dir, _asked(spark, sf_dir), stemming=True)
 
 
 def _sparse_queries(spark, sf_dir) -> DataFrame:
@@ -375,6 +409,12 @@ def _sparse_queries(spark, sf_dir) -> DataFrame:
     return q.groupBy("query_id", "dim").agg(F.count("*").cast("double").alias("q"))
 
 
+def _postings(spark, sf_dir, queries: DataFrame | None = None) -> DataFrame:
+    """Postings with codes, of the index, of all terms or those of the queries."""
+    built = sparse_index(spark, sf_dir)
+    return built.table(spark, "postings") if queries is None else index.sparse_postings(built, queries)
+
+
 _SPARSE = f"""terms AS ({_terms_sql("documents", "doc_id", "id")}), p AS (SELECT term, id, CAST(count(*) AS DOUBLE) AS val FROM terms GROUP BY ALL),
 q AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS q FROM ({_terms_sql("benchmark", "item_id", "query_id")}) GROUP BY ALL),
 exact AS (SELECT query_id, id, round(sum(q * val), 6) AS score FROM q JOIN p USING (term) GROUP BY query_id, id)"""
@@ -384,44 +424,50 @@ early AS (SELECT query_id, id, CAST(sum(qcode * code) AS BIGINT) AS score FROM q
 _ALL, _CUT = "TRUE", "qcode > floor(0.25 * 64) OR code >= floor(least(64 * 0.25, 255))"
 
 
+def _sparse_search(spark, sf_dir, k: int = 10, only: str = "TRUE") -> DataFrame:
+    q = _sparse_queries(spark, sf_dir).where(only)
+    return sparse.search(_postings(spark, sf_dir, q), q, k)
+
+
+def _quantized(spark, sf_dir, **options) -> DataFrame:
+    q = _sparse_queries(spark, sf_dir)
+    return sparse.quantized_search(_postings(spark, sf_dir, q), q, upper=8.0, **options)
+
+
 @query(f"WITH {_SPARSE} {_ranked_sql('(SELECT * FROM exact WHERE query_id = 0)')}")
 def sparse_topk(spark, sf_dir):
-    return sparse.search(_postings(spark, sf_dir), _sparse_queries(spark, sf_dir).where("query_id = 0"))
+    return _sparse_search(spark, sf_dir, only="query_id = 0")
 
 
 @query(f"WITH {_SPARSE} {_ranked_sql('exact')}")
 def sparse_batch(spark, sf_dir):
-    return sparse.search(_postings(spark, sf_dir), _sparse_queries(spark, sf_dir))
-
-
-def _coded(spark, sf_dir) -> DataFrame:
-    return sparse.with_codes(_postings(spark, sf_dir), 8.0, 6)
+    return _sparse_search(spark, sf_dir)
 
 
 @query(f"WITH {_SPARSE}{_SPARSE_CODES.format(_ALL)} {_ranked_sql('early')}")
 def sparse_quantized(spark, sf_dir):
-    return sparse.quantized_search(_coded(spark, sf_dir), _sparse_queries(spark, sf_dir), upper=8.0)
+    return _quantized(spark, sf_dir)
 
 
 @query(f"WITH {_SPARSE}{_SPARSE_CODES.format(_CUT)} {_ranked_sql('early')}")
 def sparse_early_terminate(spark, sf_dir):
-    return sparse.quantized_search(_coded(spark, sf_dir), _sparse_queries(spark, sf_dir), upper=8.0, threshold=0.25)
+    return _quantized(spark, sf_dir, threshold=0.25)
 
 
 @query(f"WITH {_SPARSE}{_SPARSE_CODES.format(_ALL)}, cand AS ({_ranked_sql('early', 50)}) {_ranked_sql('(SELECT e.* FROM exact e SEMI JOIN cand s ON s.query_id = e.query_id AND s.id = e.id)')}")
 def sparse_rerank(spark, sf_dir):
-    return sparse.quantized_search(_coded(spark, sf_dir), _sparse_queries(spark, sf_dir), upper=8.0, rerank=True)
-
-
-def _upper_sql() -> str:
-    cases = "".join(f"WHEN count(*) FILTER (val > {b}) * 100.0 <= count(*) THEN {b} " for b in quantize.SPARSE_BOUNDS)
-    return f"WITH {_SPARSE} SELECT CAST(CASE {cases} ELSE 10.0 END AS DOUBLE) AS upper FROM p"
+    return _quantized(spark, sf_dir, rerank=True)
 
 
 @query(f"WITH {_SPARSE} {_ranked_sql('exact')}")
 def sparse_rerank_whole(spark, sf_dir):
     """sparse_rerank without its cut to 50 candidates by clipped codes, which its SQL has: the exact rows."""
-    return sparse.quantized_search(_coded(spark, sf_dir), _sparse_queries(spark, sf_dir), upper=8.0, rerank=True, oversample=None)
+    return _quantized(spark, sf_dir, rerank=True, oversample=None)
+
+
+def _upper_sql() -> str:
+    cases = "".join(f"WHEN count(*) FILTER (val > {b}) * 100.0 <= count(*) THEN {b} " for b in quantize.SPARSE_BOUNDS)
+    return f"WITH {_SPARSE} SELECT CAST(CASE {cases} ELSE 10.0 END AS DOUBLE) AS upper FROM p"
 
 
 @query(_upper_sql())
@@ -440,32 +486,28 @@ def _rrf_sql(ctes: str, legs: list[str], where: str = "TRUE") -> str:
     return f"WITH {ctes}, legs AS ({ranked}), fused AS (SELECT query_id, id, round(sum(1.0 / (CAST(r AS DOUBLE) - 1.0 + 60.0 + 1.1920928955078125e-07)), 9) AS score FROM legs GROUP BY query_id, id) {_ranked_sql('fused')}"
 
 
-def _legs(spark, sf_dir) -> dict[str, DataFrame]:
-    v, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
-    q = v.join(asked, v["id"] == asked["query_id"], "left_semi").select(F.col("id").alias("query_id"), F.col("dense").alias("query"))
-    return {
-        "dense": dense.batch_search(v, q, 30),
-        "sparse": sparse.search(_postings(spark, sf_dir), _sparse_queries(spark, sf_dir), 30),
-        "text": bm25.search(_documents(spark, sf_dir), _asked(spark, sf_dir), 30, stemming=False),
-    }
+def _legs(spark, sf_dir, *names: str) -> list[DataFrame]:
+    def dense_leg():
+        v, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+        return dense.batch_search(v, v.join(asked, v["id"] == asked["query_id"], "left_semi").select(F.col("id").alias("query_id"), F.col("dense").alias("query")), 30)
+
+    ways = {"dense": dense_leg, "sparse": lambda: _sparse_search(spark, sf_dir, 30), "text": lambda: _text_search(spark, sf_dir, _asked(spark, sf_dir), 30)}
+    return [ways[name]() for name in names]
 
 
 @query(_rrf_sql(_SPARSE, [_DENSE_LEG, "SELECT * FROM exact"]))
 def hybrid_dense_sparse(spark, sf_dir):
-    legs = _legs(spark, sf_dir)
-    return fusion.fuse([legs["dense"], legs["sparse"]])
+    return fusion.fuse(_legs(spark, sf_dir, "dense", "sparse"))
 
 
 @query(_rrf_sql(_BM25, [_DENSE_LEG, "SELECT * FROM bm"]))
 def hybrid_dense_text(spark, sf_dir):
-    legs = _legs(spark, sf_dir)
-    return fusion.fuse([legs["dense"], legs["text"]])
+    return fusion.fuse(_legs(spark, sf_dir, "dense", "text"))
 
 
 @query(_rrf_sql(f"{_BM25}, {_SPARSE.replace('terms AS', 'terms2 AS')}", ["SELECT * FROM exact", "SELECT * FROM bm"]))
 def hybrid_sparse_text(spark, sf_dir):
-    legs = _legs(spark, sf_dir)
-    return fusion.fuse([legs["sparse"], legs["text"]])
+    return fusion.fuse(_legs(spark, sf_dir, "sparse", "text"))
 
 
 def _kind_sql(low: int, high: int) -> str:
@@ -486,10 +528,10 @@ _MIXED = " UNION ALL ".join(
 @query(_MIXED)
 def hybrid_batch_mixed(spark, sf_dir):
     """All queries in one batch; which two searches one combines goes by the length of its text."""
-    legs = _legs(spark, sf_dir)
+    names = ("dense", "sparse", "text")
     n = F.length("text")
     kinds = _asked(spark, sf_dir).select("query_id", F.when(n < 180, "text").when(n < 240, "sparse").otherwise("dense").alias("left_out"))
-    return fusion.fuse([leg.join(kinds.where(F.col("left_out") != name), "query_id", "left_semi") for name, leg in legs.items()])
+    return fusion.fuse([leg.join(kinds.where(F.col("left_out") != name), "query_id", "left_semi") for name, leg in zip(names, _legs(spark, sf_dir, *names))])
 
 
 # == changes and versions
@@ -530,9 +572,17 @@ def versions_after(spark, sf_dir):
     return log.versions_after(log.version_counts(_changes(spark, sf_dir)), 100)
 
 
-@query(f"WITH {_CHANGES} SELECT max(version) AS version FROM c")
+@query("SELECT CAST(5 AS BIGINT) AS version, count(*) AS live FROM customer WHERE c_mktsegment NOT IN (SELECT min(c_mktsegment) FROM customer)")
 def current_version(spark, sf_dir):
-    return _changes(spark, sf_dir).agg(F.max("version").alias("version"))
+    """Of a collection that takes each segment of customers as a version, but for the first, which is deleted again."""
+    things = Store(spark, shared_folder(spark)).create(Collection("customers", dense=False))
+    none = {"document_id": "string", "dense": "array<float>", "sparse": "array<struct<dim:bigint,val:float>>", "text": "string", "metadata": "map<string,string>"}
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_mktsegment", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+    first, *_ = names = sorted(r[0] for r in rows.select("c_mktsegment").distinct().collect())
+    for low, high in ((names[0], names[0]), (names[1], names[1]), (names[2], names[2]), (names[3], names[-1])):
+        things.upsert(rows.where(F.col("c_mktsegment").between(low, high)).drop("c_mktsegment"))
+    things.delete(rows.where(F.col("c_mktsegment") == first).select("id"))
+    return spark.createDataFrame([(things.current_version(), things.latest().count())], "version bigint, live bigint")
 
 
 _STATUS = """WITH x AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'in_progress' ELSE 'complete' END AS status, count(*) AS records, CAST(date_diff('second', min(ts), max(ts)) AS DOUBLE) AS seconds FROM events GROUP BY user_id)
@@ -574,9 +624,8 @@ def stream_epochs(spark, sf_dir):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names; below one of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sparkseek-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id AS id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS operations FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
@@ -666,6 +715,12 @@ def graph_reachable(spark, sf_dir):
     return graph(spark, sf_dir).run(text)[0]
 
 
-@query("SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def graph_negation(spark, sf_dir):
-    return graph(spark, sf_dir).run("match $c isa customer (name: $name), not (buyer: $c) forms placed get $name;")[0]
+    """Customers who have no urgent order."""
+    g = graph(spark, sf_dir)
+    g.run("define relationship urged as (buyer: customer, item: purchase);")
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    g.add_relations("urged", urgent.select(key("o", "o_orderkey").alias("rid"), key("c", "o_custkey").alias("buyer"), key("o", "o_orderkey").alias("item")))
+    return g.run("match $c isa customer (name: $name), not (buyer: $c) forms urged get $name;")[0]

@@ -84,6 +84,16 @@ def test_kmeans(spark):
     assert quantize.is_imbalanced([1, 9]) and not quantize.is_imbalanced([4, 5]) and not quantize.is_imbalanced([])
 
 
+def test_tokens_of_other_scripts(spark):
+    """A token is a run of what has the Alphabetic property or is a number, and of underscores; a virama has neither."""
+    want = {"हिन्दी भाषा": ["हिन", "दी", "भाषा"], "Ⅷ ½x ②": ["ⅷ", "½x", "②"], "عَرَبِي": ["عَرَبِي"], "МИР мир—x": ["мир", "мир", "x"], "日本語。中文": ["日本語", "中文"], "ไทยก": ["ไทยก"], "snake_case don't": ["snake_case", "don"], "😀 #!": [], "ẞtraße": ["ßtraße"]}
+    df = spark.createDataFrame([*enumerate(want)], "id int, t string")
+    got = {r["t"]: r["terms"] for r in df.select("t", text.terms(F.col("t"), stemming=False).alias("terms")).collect()}
+    assert got == want
+    counts = text.term_counts(df.union(spark.createDataFrame([(90, None), (91, "")], "id int, t string")), "id", "t", stemming=False).collect()
+    assert {(r["id"], r["term"], r["count"], r["length"]) for r in counts} == {(i, w, ws.count(w), len(ws)) for i, ws in enumerate(want.values()) for w in ws}
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("The quick_brown fox's Élan, 42 " + "x" * 41,), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(text.terms(F.col("t"), stemming=False)).collect()] == [["quick_brown", "fox", "élan", "42"], [], None]
@@ -147,3 +157,16 @@ def test_filters(spark):
     for wrong in ({}, {"n": {"$gt": 1}}, {"And": []}, []):
         with pytest.raises(SearchError):
             parse_filter(wrong)
+
+
+def test_kernels_over_nulls_and_other_lengths(spark):
+    rows = [([1.0, 2.0], [3.0, 4.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([], []), ([1.0, None], [1.0, 2.0]), ([0.5, 2.0, 1.0], [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>").coalesce(1)
+    a, b = F.col("a"), F.col("b")
+    got = [tuple(r) for r in df.select(vectors.half_dot(a, b), vectors.half_euclidean(a, b)).collect()]
+    assert got == [(11.0, 8**0.5), (None, None), (None, None), (0.0, 0.0), (None, None), (3.5, 1.25**0.5)]
+    assert [r[0] for r in df.select(quantize.half_values(a)).collect()] == [[1.0, 2.0], [1.0], None, [], [1.0, None], [0.5, 2.0, 1.0]]
+    import hashlib
+    import struct
+
+    assert [r[0] for r in df.where("a IS NULL OR NOT exists(a, x -> x IS NULL)").select(vectors.vector_sha256(a)).collect()] == [None if x is None else hashlib.sha256(struct.pack(f"<{len(x)}f", *x)).hexdigest() for x, _ in rows if x is None or None not in x]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.errors import NotFound, ParseError, SearchError
 from sparkseek.plans import ast as a
+from sparkseek.plans import graph as graph_module
 from sparkseek.plans.graph import Graph
 from sparkseek.plans.parser import Parser, parse
 
@@ -141,3 +142,26 @@ def test_what_is_wrong_is_said(g):
     h.run(SCHEMA + "define rule r as match $a isa person, not (one: $a, two: $a) forms knows infer derive (one: $a, two: $a) forms knows;")
     with pytest.raises(SearchError, match="negation"):
         h.run("match (one: $a, two: $b) forms knows get $a;")
+
+
+def test_roles_must_be_held_by_entities_of_their_type(spark):
+    g = Graph(spark)
+    g.run("define entity person as name: string; define entity town as name: string; define relationship lives as (who: person, place: town);")
+    g.add_entities("person", spark.createDataFrame([("p1", "A")], "eid string, name string"))
+    g.add_entities("town", spark.createDataFrame([("t1", "T")], "eid string, name string"))
+    good = spark.createDataFrame([("r1", "p1", "t1")], "rid string, who string, place string")
+    bad = spark.createDataFrame([("r2", "t1", "t1"), ("r3", "p1", "p1")], "rid string, who string, place string")
+    g.add_relations("lives", good, check=True)
+    with pytest.raises(SearchError):
+        g.add_relations("lives", bad, check=True)
+    assert g.violations("lives").count() == 0
+    assert {tuple(r) for r in g.violations("lives", bad).collect()} == {("who", "t1"), ("place", "p1")}
+
+
+def test_long_chains_are_compacted_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(graph_module, "COMPACT", 2)
+    g = Graph(spark)
+    g.run("define entity node as name: string; define relationship step as (source: node, target: node); define relationship reach as (source: node, target: node);")
+    g.add_relations("step", spark.createDataFrame([(f"r{i}", f"n{i}", f"n{i + 1}") for i in range(6)], "rid string, source string, target string"))
+    g.run("define rule one as match (source: $a, target: $b) forms step infer derive (source: $a, target: $b) forms reach; define rule two as match (source: $a, target: $b) forms reach, (source: $b, target: $c) forms step infer derive (source: $a, target: $c) forms reach;")
+    assert g.run("match (source: $a, target: $b) forms reach get $a, $b;")[0].count() == 21

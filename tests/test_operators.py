@@ -255,3 +255,37 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     plan = bm25.term_table(docs, stemming=False)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_stemmed_search_against_plain_loops(spark, sf):
+    import math
+    from collections import Counter
+
+    import regex
+
+    from sparkseek.functions.stemmer import stem
+    from sparkseek.functions.text import STOP_WORDS
+    from sparkseek.queries import queries
+
+    def terms(text):
+        return [stem(w.lower()) for w in regex.findall(r"[\p{L}\p{N}_]+", text) if len(w.encode()) <= 40 and w.lower() not in STOP_WORDS]
+
+    docs = {r["doc_id"]: Counter(terms(r["text"])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] is not None}
+    df = Counter(w for c in docs.values() for w in c)
+    mean = sum(sum(c.values()) for c in docs.values()) / len(docs)
+    got = {}
+    for r in queries()["bm25_stemmed"](spark, sf).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+    asked = {r["item_id"]: set(terms(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    checked = 0
+    for q, words in asked.items():
+        scores = {}
+        for i, c in docs.items():
+            n = sum(c.values())
+            s = [c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * n / mean)) * math.log1p((len(docs) - df[w] + 0.5) / (df[w] + 0.5)) for w in words if c[w]]
+            if s:
+                scores[i] = round(sum(s), 6)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert [got[q][r + 1][1] for r in range(len(best))] == pytest.approx([x for _, x in best], abs=2e-6)
+        checked += len(best)
+    assert checked > 50

@@ -4,7 +4,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.errors import AlreadyExists, DimensionMismatch, DuplicateId, NotFound, SearchError, TransactionError
+from sparkseek.errors import AlreadyExists, DimensionMismatch, DuplicateId, InvalidFieldValue, NotFound, SearchError, TransactionError
+from sparkseek.functions.filters import and_, is_
+from sparkseek.operators import bm25, dense, fusion, sparse
 from sparkseek.sources import changes, records
 from sparkseek.sources.store import Collection, Store, status_summary
 from sparkseek.streaming import ingest
@@ -180,3 +182,120 @@ def test_running_latest_state(spark, tmp_path):
             break
         time.sleep(0.2)
     assert {tuple(r) for r in spark.table("latest").collect()} == {("a", 5, "delete", False), ("b", 2, "upsert", True)}
+
+
+def test_two_writers_get_versions_of_their_own(spark, store, coll):
+    one, two = store.get("things"), store.get("things")
+    one._next_version()  # a writer that has claimed version 1 and hasn't written yet
+    assert two.upsert(batch(spark, ("b", [2, 0], None))) == 2
+    assert one.append(one.checked(batch(spark, ("a", [1, 0], None))), "implicit", version=1) == 1
+    assert state(coll.latest()) == {"a": (1, 0), "b": (2, 0)} and coll.versions().count() == 2
+
+
+def test_one_transaction_a_collection(spark, store, coll):
+    one, two = store.get("things"), store.get("things")
+    t = one.transaction()
+    with pytest.raises(TransactionError):
+        two.transaction()
+    with pytest.raises(TransactionError):
+        two.commit(t.id)
+    t.abort()
+    assert coll.transaction_status(t.id) == "aborted" and coll.open_transaction() is None
+    lost = two.transaction()
+    lost.insert(batch(spark, ("a", [1, 0], None)))
+    assert coll.open_transaction() == lost.id
+    coll.abort(lost.id)  # as after a crash of the process that opened it
+    with pytest.raises(TransactionError):
+        lost.commit()
+    with coll.transaction() as u:
+        u.insert(batch(spark, ("b", [1, 0], None)))
+    assert state(coll.latest()) == {"b": (1, 0)} and coll.transaction_status(u.id) == "complete" and coll.transaction_status(lost.id) == "aborted"
+
+
+def test_small_files_are_replaced_whole(coll):
+    files = coll.store.files
+    for text in ("one", "two"):
+        files.write("note", text)
+        assert files.read("note") == text
+    assert files.claim("mine") and not files.claim("mine")
+
+
+def test_metadata_is_checked_on_write_and_query(spark, store):
+    declared = {"fields": [{"name": "age", "values": list(range(25, 50))}, {"name": "color", "values": ["red", "blue", "green"]}], "conditions": [{"op": "And", "fields": ["age", "color"]}, {"op": "Or", "fields": ["age", "color"]}]}
+    coll = store.create(Collection("a", dimension=2, metadata_schema=declared))
+    row = lambda i, meta: spark.createDataFrame([(i, None, [1.0, float(len(i))], None, None, meta)], records.RECORD)
+    coll.upsert(row("x", {"age": "30", "color": "red"}).union(row("yy", {"age": "31"})).union(row("zzz", None)))
+    for bad in ({"age": "50"}, {"color": "pink"}, {"size": "3"}):
+        with pytest.raises(InvalidFieldValue):
+            coll.upsert(row("w", bad))
+    assert coll.latest().count() == 3
+    found = lambda where: {r["id"] for r in coll.search_dense([1.0, 0.0], where=where).collect()}
+    assert found(None) == {"x", "yy", "zzz"} and found(is_("age", 31)) == {"yy"} and found(and_(is_("age", 30), is_("color", "red"))) == {"x"}
+    with pytest.raises(InvalidFieldValue):
+        found(is_("color", "pink"))
+    with pytest.raises(SearchError):
+        found(is_("weight", 1))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vecs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    found = docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left")
+    dims = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.pmod(F.col("doc_id") * (i + 3), F.lit(40))).cast("bigint").alias("dim"), ((F.pmod(F.col("doc_id"), F.lit(7)) + i + 1) / 4).cast("float").alias("val")))
+    return found.select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("document_id"), F.col("embedding").alias("dense"), F.array_distinct(dims).alias("sparse"), "text", F.create_map(F.lit("lang"), "lang").alias("metadata")).persist()
+
+
+def test_searches_through_indexes_are_those_of_the_records(spark, store, many):
+    langs = sorted(r[0] for r in many.select(F.col("metadata")["lang"]).distinct().collect())
+    coll = store.create(Collection("all", dimension=64, sparse=True, text=True, metadata_schema={"fields": [{"name": "lang", "values": langs}]}))
+    for kind in ("dense", "sparse", "tf_idf"):
+        coll.create_index(kind, **({"quantization": 64} if kind == "sparse" else {}))
+    assert coll.indexing() == "indexing in progress: dense, sparse, tf_idf" or all(coll.built(k) is None for k in coll.indexes())
+    coll.upsert(many.where("CAST(id AS INT) < 20"))
+    assert all(coll.built(k) is None for k in coll.indexes()), "there are fewer records than are sampled"
+    coll.upsert(many.where("CAST(id AS INT) >= 20"))
+    assert all(coll.built(k).version == 2 for k in coll.indexes()) and coll.indexing() is None
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(5)
+    terms = spark.createDataFrame([(q, d, float(d % 3 + 1)) for q in range(5) for d in range(q, 40, 3)], "query_id bigint, dim bigint, q double")
+    some = [list(r["dense"]) for r in many.where("dense IS NOT NULL").orderBy("id").limit(5).collect()]
+    vectors = spark.createDataFrame([*enumerate(some)], "query_id bigint, query array<float>")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+    def all_agree(records):
+        english = records.where(F.col("metadata")["lang"] == langs[0])
+        assert same(coll.batch_text(asked), bm25.search(records, asked))
+        own = bm25.scores(records, asked).join(english.select("id"), "id", "left_semi")
+        assert same(coll.batch_text(asked, where=is_("lang", langs[0])), bm25.best(own))
+        assert same(coll.batch_sparse(terms), sparse.search(sparse.postings(records.where("sparse IS NOT NULL")), terms))
+        assert coll.batch_sparse(terms, threshold=0.5).count() > 0
+        assert same(coll.search_dense(some[0]), dense.search(records, some[0])), "ef_search candidates by codes hold the best"
+        assert same(coll.search_dense(some[1], where=is_("lang", langs[0])), dense.search(english, some[1]))
+        legs = [dense.batch_search(records, vectors, 30), bm25.search(records, asked, 30)]
+        assert same(coll.batch_hybrid(dense=vectors, text=asked), fusion.fuse(legs))
+
+    all_agree(coll.latest())
+    plan = coll.batch_text(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN (" in plan or "INSET" in plan, "the terms asked reach the scan"
+    # changes that the indexes don't have yet
+    coll.upsert(many.where("id = '3'").withColumn("text", F.lit("one two three")).withColumn("sparse", F.array(F.struct(F.lit(5).cast("bigint").alias("dim"), F.lit(9.5).cast("float").alias("val")))))
+    coll.delete(spark.createDataFrame([("4",)], "id string"))
+    assert coll.indexing() == "indexing in progress: dense, sparse, tf_idf"
+    all_agree(coll.latest())
+    with coll.transaction() as t:
+        t.delete(spark.createDataFrame([("6",)], "id string"))
+    assert coll.indexing() is None and all(coll.built(k).version == 5 for k in coll.indexes())
+    all_agree(coll.latest())
+    coll.delete_index("dense")
+    assert coll.built("dense") is None and coll.search_dense(some[0]).count() == 10
+
+
+@pytest.mark.parametrize("storage", ["binary", "octal", "f16", "f32"])
+def test_dense_codes_of_each_storage(spark, store, many, storage):
+    coll = store.create(Collection(storage, dimension=64))
+    coll.create_index("dense", storage=storage)
+    with coll.transaction() as t:
+        t.insert(many.where("dense IS NOT NULL"))
+    q = list(many.where("id = '1'").first()["dense"])
+    got, want = ([r["id"] for r in f.orderBy(F.desc("score"), "id").collect()] for f in (coll.search_dense(q), dense.search(coll.latest(), q)))
+    assert got[0] == want[0] and len(set(got) & set(want)) >= 9
