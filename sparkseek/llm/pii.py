@@ -179,10 +179,11 @@ def plain_tokens(texts: pa.Array, filter_words: np.ndarray) -> Iterator[tuple[in
     line = np.concatenate([[0], np.cumsum((data == 10) | edge[1:])])[starts]  # which line of which text
     h, word, _, _ = words(np.where(data == 95, 32, data).astype(np.uint8), off)
     back = lambda n: np.maximum(np.arange(len(starts)) - n, 0)
-    one, two = line[back(1)] == line, line[back(2)] == line
+    one, two = (line[back(n)] == line for n in (1, 2))
+    one[:1] = two[:2] = False
     begin = starts[np.where(two, back(2), np.where(one, back(1), np.arange(len(starts))))]
     context = of_all(h, np.searchsorted(word, begin), np.searchsorted(word, starts)).view(np.int64)
-    likely = np.flatnonzero((marks[ends] == marks[starts]) & held_by(filter_words, context))
+    likely = np.flatnonzero(one & (marks[ends] == marks[starts]) & held_by(filter_words, context))
     if not len(likely):
         return
     raw, chars = data.tobytes(), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -266,6 +267,11 @@ def _batch(ids: pa.Array, rows: list[int], *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=["id", "value", "seed", "patterns", "start", "end"])
 
 
+def _left(two: str) -> list[str]:
+    """The pattern of the words before; that nothing is before, at the start of a line, is none."""
+    return [] if two == "^ ^" else [f"L {two}"]
+
+
 def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
     """(id, value, seed, patterns, start, end) of the seeds and of the tokens with a digit or @."""
     form = re.compile("|".join(rf"(?<!\w){re.escape(v)}(?!\w)" for v in sorted(given, key=len, reverse=True))) if given else None
@@ -275,7 +281,7 @@ def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
             for lo, hi in slices(batch.column("text"), 8 << 20):
                 rows = [*candidates(batch.column("text").slice(lo, hi - lo), form)]
                 shapes = [shape(r[1]) for r in rows]
-                patterns = [[f"L {two}", f"S {s}", f"LS {one} {s}", f"SR {s} {after}"] for (_, _, two, one, after, _, _), s in zip(rows, shapes)]
+                patterns = [[*_left(two), f"S {s}", f"LS {one} {s}", f"SR {s} {after}"] for (_, _, two, one, after, _, _), s in zip(rows, shapes)]
                 yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [seed_kind(r[1]) for r in rows], patterns, [r[5] for r in rows], [r[6] for r in rows])
 
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
@@ -284,7 +290,7 @@ def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
 def _plain_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The same, of the tokens without a digit or @ in contexts that distinct seeds have."""
     context = F.element_at("patterns", 1)
-    several = found.where("seed IS NOT NULL").select(context.alias("context"), "value").groupBy("context").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= CONTEXT_SEEDS)
+    several = found.where("seed IS NOT NULL").select(context.alias("context"), "value").where(F.col("context").startswith("L ")).groupBy("context").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= CONTEXT_SEEDS)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +314,7 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates are what has a form that alone tells its kind, wherever it stands in a text, the tokens with a digit or
     an @, and each other token in a context (the two words before) that CONTEXT_SEEDS seeds or more have: a name or
     a word can be an identifier by what stands before it. The first of these are seeds, and so are the values given as
-    keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before; and, with a digit
+    keys of seeds (value -> kind). Each candidate's occurrences give patterns: the two words before, if one is in the line; and, with a digit
     or @, its shape; the word before with the shape; the shape with the word after. In each round a pattern's
     confidence in a kind is the confidence of its distinct instances in that kind, against that in others, the unknown
     ones and DOUBT; an instance's is 1 - product(1 - confidence of its patterns from PATTERN_FROM on). Seeds keep 1.

@@ -179,7 +179,7 @@ def plain_identifiers(texts, rounds=pii.ROUNDS):
         left = [strip(w) for w in ["^"] * (2 - len(line)) + line]
         right = texts[i][hi:].split("\n", 1)[0].split()[:1]
         after = strip(right[0]) if right else "$"
-        own = ["L " + " ".join(left)]
+        own = ["L " + " ".join(left)] if line else [""]
         if marked(value):
             s = pii.shape(value)
             own += [f"S {s}", f"LS {left[1]} {s}", f"SR {s} {after}"]
@@ -187,9 +187,9 @@ def plain_identifiers(texts, rounds=pii.ROUNDS):
         if kind := pii.seed_kind(value):
             seeds[value] = kind
     several = Counter(p for p, _ in {(contexts[f][0], f[1]) for f in found if f[1] in seeds})
-    found = [f for f in found if marked(f[1]) or several[contexts[f][0]] >= pii.CONTEXT_SEEDS and any(c.isalpha() for c in f[1])]
+    found = [f for f in found if marked(f[1]) or contexts[f][0] and several[contexts[f][0]] >= pii.CONTEXT_SEEDS and any(c.isalpha() for c in f[1])]
     for f in found:
-        for p in contexts[f]:
+        for p in filter(None, contexts[f]):
             edges.setdefault(p, set()).add(f[1])
     score = {f[1]: {k: float(seeds.get(f[1]) == k) for k in pii.KINDS} for f in found}
     for _ in range(rounds):
