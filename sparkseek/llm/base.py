@@ -68,12 +68,17 @@ def settle(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete every table that the operators have written in this process, but those of `keep`.
+def written() -> set[str]:
+    """The tables that operators have written in this process and that aren't deleted."""
+    return set(_written)
 
-    A result is computed when it is read, so this is for when all results so far are stored elsewhere.
+
+def clear(spark: SparkSession, *keep: DataFrame, before: set[str] = frozenset()) -> None:
+    """Delete every table that the operators have written in this process, but those of `keep` and those written before.
+
+    A result is computed when it is read, so this is for when all results since are stored elsewhere.
     """
-    kept = {df._shared_path for df in keep}
+    kept = {df._shared_path for df in keep} | before
     for path in [p for p in _written if p not in kept]:
         delete(spark, path)
         _written.remove(path)
