@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, build_filter, held_by, materialise, of_all, pruned, release, slices, text_buffer, words
+from .base import arrow_map, build_filter, column, held_by, materialise, mix, of_all, pruned, release, slices, text_buffer, words
 
 KINDS = ("email", "phone", "card", "ip", "secret")
 ROUNDS = 3
@@ -26,6 +26,9 @@ UNKNOWN_SHAPED, UNKNOWN_BARE = 0.05, 1.0
 CONTEXT_SEEDS = 2
 #: Added to the evidence against every pattern, so that few instances prove little.
 DOUBT = 1.0
+#: The share of rows that contexts are looked at in first, and (context, value) pairs that a task holds before it sends them.
+FIRST_SHARE = 1 / 16
+HELD_PAIRS = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -122,6 +125,14 @@ def _around(text: str, begin: int, end: int) -> tuple[str, str, str]:
     return f"{_word(left[0].encode('utf-8', 'replace'))} {one}", one, _word(right[0].encode("utf-8", "replace")) if right else "$"
 
 
+def _spans(text: str, given: re.Pattern | None) -> list[tuple[int, int]]:
+    """(begin, end) of the seeds in a text, those given too."""
+    spans = seeds_in(text)
+    if given is not None:
+        spans = sorted(spans + [m.span() for m in given.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)])
+    return spans
+
+
 def candidates(texts: pa.Array, given: re.Pattern | None = None) -> Iterator[tuple[int, str, str, str, str, int, int]]:
     """(row, value, two words before, word before, word after, first character, end) of each seed and each other token
     with a digit or @.
@@ -134,9 +145,7 @@ def candidates(texts: pa.Array, given: re.Pattern | None = None) -> Iterator[tup
     for i, text in enumerate(strings):
         if not text:
             continue
-        spans = seeds_in(text)
-        if given is not None:
-            spans = sorted(spans + [m.span() for m in given.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)])
+        spans = _spans(text, given)
         if spans:
             held[i] = spans
     whole: dict[int, set[tuple[int, int]]] = {}
@@ -165,8 +174,26 @@ def _contexts(strings: list[str]) -> np.ndarray:
     return of_all(h, first[:-1], first[1:]).view(np.int64)
 
 
-def plain_tokens(texts: pa.Array, filter_words: np.ndarray) -> Iterator[tuple[int, str, str, int, int]]:
-    """(row, value, two words before, first character, end) of each token without a digit or @ in a context that the filter may hold."""
+def _level(keys: np.ndarray, i: int) -> np.ndarray:
+    """What stands in a filter for contexts whose limit has i binary digits or more."""
+    return (keys.view(np.uint64) ^ mix(np.array([i], np.uint64))).view(np.int64) if i else keys
+
+
+def _most(filter_words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The limits of contexts by the filter, which rounds them up."""
+    digits, at, i = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while i < 32 and len(at := at[held_by(filter_words, _level(keys[at], i))]):
+        digits[at] = i
+        i += 1
+    return (1 << digits) - 1
+
+
+def plain_tokens(texts: pa.Array, filter_words: np.ndarray, values: np.ndarray | None = None, given: re.Pattern | None = None) -> Iterator[tuple[int, str, str, int, int, int]]:
+    """(row, value, two words before, first character, end, limit of the context) of each token without a digit or @ in a
+    context that the filter may hold; with `values`, of those alone that this filter may hold.
+
+    What holds or touches a seed is none: those are the first kind of candidates, or parts of one.
+    """
     data, off = text_buffer(texts)
     if not len(data):
         return
@@ -183,19 +210,30 @@ def plain_tokens(texts: pa.Array, filter_words: np.ndarray) -> Iterator[tuple[in
     one[:1] = two[:2] = False
     begin = starts[np.where(two, back(2), np.where(one, back(1), np.arange(len(starts))))]
     context = of_all(h, np.searchsorted(word, begin), np.searchsorted(word, starts)).view(np.int64)
-    likely = np.flatnonzero(one & (marks[ends] == marks[starts]) & held_by(filter_words, context))
+    likely = np.flatnonzero(one & (marks[ends] == marks[starts]))
+    likely = likely[held_by(filter_words, context[likely])]
+    if values is not None:
+        likely = likely[held_by(values, of_all(h, np.searchsorted(word, starts[likely]), np.searchsorted(word, ends[likely])).view(np.int64))]
     if not len(likely):
         return
+    each, which = np.unique(context[likely], return_inverse=True)
+    most = _most(filter_words, each)[which]
+    spans: dict[int, list[tuple[int, int]]] = {}
     raw, chars = data.tobytes(), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     row = np.searchsorted(off, starts[likely], side="right") - 1
-    for i, doc in zip(likely.tolist(), row.tolist()):
+    for i, doc, limit in zip(likely.tolist(), row.tolist(), most.tolist()):
         text = raw[starts[i] : ends[i]].decode("utf-8", "replace")
         lo, hi = stripped(text)
-        if not any(c.isalpha() for c in text[lo:hi]):
+        if not any(c.isalpha() for c in text[lo:hi]) or len(text) >= 20 and _SECRET.search(text):
             continue
         before = [_word(raw[starts[i - n] : ends[i - n]]) if i >= n and same[i] else "^" for n, same in ((2, two), (1, one))]
         at = int(chars[starts[i]] - chars[off[doc]]) + lo
-        yield doc, text[lo:hi], " ".join(before), at, at + hi - lo
+        if given is not None:
+            if doc not in spans:
+                spans = {doc: _spans(raw[off[doc] : off[doc + 1]].decode("utf-8", "replace"), given)}
+            if any(a < at + hi - lo and at < b for a, b in spans[doc]):
+                continue
+        yield doc, text[lo:hi], " ".join(before), at, at + hi - lo, limit
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, str, str, str, str, int, int]]:
@@ -272,14 +310,17 @@ def _left(two: str) -> list[str]:
     return [] if two == "^ ^" else [f"L {two}"]
 
 
-def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
+def _form(given: list[str]) -> re.Pattern | None:
+    return re.compile("|".join(rf"(?<!\w){re.escape(v)}(?!\w)" for v in sorted(given, key=len, reverse=True))) if given else None
+
+
+def _candidates(docs: DataFrame, given: re.Pattern | None) -> DataFrame:
     """(id, value, seed, patterns, start, end) of the seeds and of the tokens with a digit or @."""
-    form = re.compile("|".join(rf"(?<!\w){re.escape(v)}(?!\w)" for v in sorted(given, key=len, reverse=True))) if given else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column("text"), 8 << 20):
-                rows = [*candidates(batch.column("text").slice(lo, hi - lo), form)]
+                rows = [*candidates(batch.column("text").slice(lo, hi - lo), given)]
                 shapes = [shape(r[1]) for r in rows]
                 patterns = [[*_left(two), f"S {s}", f"LS {one} {s}", f"SR {s} {after}"] for (_, _, two, one, after, _, _), s in zip(rows, shapes)]
                 yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [seed_kind(r[1]) for r in rows], patterns, [r[5] for r in rows], [r[6] for r in rows])
@@ -287,25 +328,102 @@ def _candidates(docs: DataFrame, given: list[str]) -> DataFrame:
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
 
 
-def _plain_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The same, of the tokens without a digit or @ in contexts that distinct seeds have."""
-    context = F.element_at("patterns", 1)
-    several = found.where("seed IS NOT NULL").select(context.alias("context"), "value").where(F.col("context").startswith("L ")).groupBy("context").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= CONTEXT_SEEDS)
+def _seed_contexts(found: DataFrame) -> DataFrame:
+    """(context, most): the contexts of CONTEXT_SEEDS distinct seeds or more, and how many plain values without any
+    confidence one may have and still be a pattern, when all others of its candidates are of its commonest kind.
+
+    A pattern's confidence is PATTERN_FROM, a half, where that of its kind is at least that of the others, the unknown
+    ones and DOUBT; an unknown plain value counts UNKNOWN_BARE, which is 1 as DOUBT is.
+    """
+    first = F.element_at("patterns", 1)
+    sides = found.where(first.startswith("L ")).select(F.substring(first, 3, 1 << 30).alias("context"), "value", "seed").distinct().groupBy("context", "seed").agg(F.count("*").alias("n"))
+    known, n = F.col("seed").isNotNull(), F.col("n")
+    of = lambda total, which: F.coalesce(total(F.when(which, n)), F.lit(0))
+    return sides.groupBy("context").agg(of(F.sum, known).alias("seeds"), (2 * of(F.max, known) + of(F.sum, ~known) - of(F.sum, known) - 1).alias("most")).where(F.col("seeds") >= CONTEXT_SEEDS).select("context", "most")
+
+
+def _filter(df: DataFrame, text: str, most: str | None = None) -> np.ndarray:
+    """A filter of the words in a column; with a column of limits, of these too."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_contexts([c[2:] for c in batch.column(0).to_pylist()]))], names=["key"])
+            each = _contexts(batch.column(0).to_pylist())
+            digits = np.array([n.bit_length() for n in batch.column(1).to_pylist()], np.int64)
+            for i in range(int(digits.max(initial=0)) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(_level(each[digits >= i], i))], names=["key"])
+
+    table = materialise(arrow_map(df.select(text, column(most).cast("bigint").alias("most") if most else F.lit(0).cast("bigint").alias("most")), keys, "key bigint").distinct(), "contexts")
+    out = build_filter(table)
+    release(table)
+    return out
+
+
+def _pairs(docs: DataFrame, contexts: DataFrame, given: re.Pattern | None, values: DataFrame | None = None) -> DataFrame:
+    """(context, value) of the plain tokens in contexts; a context with more values in a task than its limit `most` has a null
+    instead. With `values`, the pairs of these, without limits.
 
-    hashes = materialise(arrow_map(several.select("context"), keys, "key bigint").distinct(), "contexts")
-    shared = docs.sparkSession.sparkContext.broadcast(build_filter(hashes))
+    Contexts and values go to the tasks as filters of bounded size, so there are pairs of some others too.
+    """
+    bounded = values is None
+    words_of = docs.sparkSession.sparkContext.broadcast((_filter(contexts, "context", "most" if bounded else None), None if bounded else _filter(values, "value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, set[str]] = {}
+        over: set[str] = set()
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            pairs = [(context, value) for context, some in held.items() for value in some]
+            pairs += [(context, None) for context in over]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in range(2)], names=["context", "value"])
+
         for batch in batches:
             for lo, hi in slices(batch.column("text"), 4 << 20):
-                rows = [*plain_tokens(batch.column("text").slice(lo, hi - lo), shared.value)]
-                yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [None] * len(rows), [[f"L {r[2]}"] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
+                for _, value, context, _, _, most in plain_tokens(batch.column("text").slice(lo, hi - lo), *words_of.value, given):
+                    if context in over:
+                        continue
+                    some = held.setdefault(context, set())
+                    if value not in some:
+                        some.add(value)
+                        n += 1
+                        if bounded and len(some) > most:
+                            n -= len(held.pop(context))
+                            over.add(context)
+                if n + len(over) > HELD_PAIRS:
+                    yield out()
+                    held, over, n = {}, set(), 0
+        yield out()
+
+    return arrow_map(docs, run, "context string, value string")
+
+
+def _within(docs: DataFrame, contexts: DataFrame, given: re.Pattern | None) -> tuple[DataFrame, DataFrame]:
+    """Those of the contexts that have at most `most` plain values, and all their (context, value) pairs.
+
+    Most contexts have more in a small share of the rows, and aren't looked at in the rest.
+    """
+    left, pairs = contexts.where("most >= 0"), None
+    for some in (docs.sample(FIRST_SHARE, seed=0), docs):
+        if pairs is not None:
+            release(pairs)
+        pairs = materialise(_pairs(some, left, given).distinct(), "pairs")
+        count = pairs.groupBy("context").agg(F.count("value").alias("n"), F.max(F.col("value").isNull()).alias("over"))
+        left = materialise(left.join(count, "context", "left").where("n IS NULL OR NOT over AND n <= most").select("context", "most"), "contexts")
+    return left, materialise(pairs.join(left, "context", "left_semi"), "pairs")
 
-    return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
+
+def _plain_rows(docs: DataFrame, contexts: DataFrame, values: DataFrame, given: re.Pattern | None) -> DataFrame:
+    """(id, value, start, end) of where the values stand as plain tokens in the contexts; of some others too."""
+    words_of = docs.sparkSession.sparkContext.broadcast((_filter(contexts, "context"), _filter(values, "value")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column("text"), 4 << 20):
+                rows = [*plain_tokens(batch.column("text").slice(lo, hi - lo), *words_of.value, given)]
+                yield _batch(batch.column("id").slice(lo, hi - lo), [r[0] for r in rows], [r[1] for r in rows], [None] * len(rows), [[r[2]] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
+
+    rows = arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {_KINDS_OF}")
+    return rows.withColumn("context", F.element_at("patterns", 1)).join(contexts, "context", "left_semi").select("id", "value", "start", "end")
 
 
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seeds: dict[str, str] | None = None) -> DataFrame:
@@ -324,20 +442,47 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts have no candidates. Rows with a null id are reported with it. Repeated rows are each reported. Other columns
     don't matter. An empty table, or one without seeds, gives an empty result.
 
-    Contexts go to the tasks as a filter of bounded size; what it lets through by mistake belongs to no pattern.
+    Most contexts of seeds are common words with so many other values that they can't become a pattern: their values are
+    counted in the tasks up to that number and not gathered. Such a context is looked at again in a round before which
+    plain values gained confidence, up to the number that those which it has of them allow. So nothing is lost by it.
     """
     spark = docs.sparkSession
     some = pruned(docs, id=id_col, text=text_col).where("text IS NOT NULL")
-    found = materialise(_candidates(some, [*(seeds or {})]), "candidates")
+    form = _form([*(seeds or {})])
+    found = materialise(_candidates(some, form), "candidates")
     if seeds:
         given = spark.createDataFrame([*seeds.items()], "value string, given string")
         found = materialise(found.join(F.broadcast(given), "value", "left").withColumn("seed", F.coalesce("given", "seed")).select(*found.columns), "candidates")
-    found = found.unionByName(materialise(_plain_candidates(some, found), "candidates"))
-    start = found.groupBy("value").agg(F.max("seed").alias("seed"))
-    edges = materialise(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    marked = materialise(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    # a value that is given can be a plain token too, and is sure from the start
+    contexts = materialise(_seed_contexts(found).withColumn("most", F.col("most") + 2 * len(seeds or {})), "contexts")
+    opened, pairs = _within(some, contexts, form)
+    zeros = [F.lit(0.0).alias(k) for k in KINDS]
+
+    def edges_of(opened: DataFrame, pairs: DataFrame) -> DataFrame:
+        name = F.concat(F.lit("L "), "context").alias("pattern")
+        shut = contexts.join(opened, "context", "left_anti").select(name)
+        return materialise(marked.join(shut, "pattern", "left_anti").select("value", "pattern").unionByName(pairs.select("value", name)).distinct(), "edges")
+
+    edges = edges_of(opened, pairs)
+    start = found.select("value", "seed").unionByName(pairs.select("value", F.lit(None).cast("string").alias("seed"))).groupBy("value").agg(F.max("seed").alias("seed"))
     scores = materialise(start.select("value", "seed", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(k) for k in KINDS]), "scores")
+    plain = ~F.col("value").rlike("[0-9@]") & (F.lit(bool(seeds)) | F.col("seed").isNull())
+    looked = 0
     every = reduce(lambda a, b: a + b, [F.col(f"s_{k}") for k in KINDS])
-    for _ in range(rounds):
+    for turn in range(rounds):
+        sure = scores.where(plain & (F.greatest(*[F.col(k) for k in KINDS]) > 0)).select("value")
+        if turn and (n := sure.count()) > looked:
+            looked = n
+            shut = contexts.join(opened, "context", "left_anti")
+            has = _pairs(some, shut, form, sure).distinct().join(sure, "value", "left_semi").groupBy("context").agg(F.count("*").alias("n"))
+            again = materialise(shut.join(has, "context").select("context", (F.col("most") + 2 * F.col("n")).alias("most")), "contexts")
+            also, more = _within(some, again, form)
+            if not also.isEmpty():
+                opened, pairs = opened.unionByName(also), pairs.unionByName(more)
+                edges = edges_of(opened, pairs)
+                new = more.select("value").distinct().join(scores, "value", "left_anti").select("value", F.lit(None).cast("string").alias("seed"), *zeros)
+                scores = materialise(scores.unionByName(new), "scores")
         sums = edges.join(scores, "value").groupBy("pattern").agg(F.sum(F.lit(1.0) - F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.col(k) for k in KINDS]))).alias("unknown"), *[F.sum(k).alias(f"s_{k}") for k in KINDS])
         weight = F.when(F.col("pattern").startswith("L "), UNKNOWN_BARE).otherwise(UNKNOWN_SHAPED)
         trust = {k: F.col(f"s_{k}") / (every + weight * F.col("unknown") + DOUBT) for k in KINDS}
@@ -349,5 +494,9 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(before)
     score = F.greatest(*[F.col(k) for k in KINDS])
     surest = reduce(lambda rest, k: F.when(F.col(k) == score, k).otherwise(rest), KINDS[-2::-1], F.lit(KINDS[-1]))
-    kept = scores.where(score >= REPORT_FROM).select("value", surest.alias("kind"), score.alias("score"), F.col("seed").isNotNull().alias("seed"))
-    return found.drop("seed").join(kept, "value").select(F.col("id").alias(id_col), "kind", "value", "start", "end", "score", "seed")
+    kept = materialise(scores.where(score >= REPORT_FROM).select("value", surest.alias("kind"), score.alias("score"), F.col("seed").isNotNull().alias("seed")), "kept")
+    rows = found.select("id", "value", "start", "end")
+    words_kept = kept.where(~F.col("value").rlike("[0-9@]") & (F.lit(bool(seeds)) | ~F.col("seed"))).select("value")
+    if not words_kept.isEmpty():
+        rows = rows.unionByName(_plain_rows(some, contexts, words_kept, form))
+    return rows.join(kept, "value").select(F.col("id").alias(id_col), "kind", "value", "start", "end", "score", "seed")
