@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,11 +19,14 @@ from ..functions.vectors import METRICS, cosine, dot_codes, literal_vector
 #: Candidates kept for each result wanted, before exact re-ranking.
 OVERSAMPLE = 5
 DIGITS = 6
-#: Queries that are sent to every task, in bytes at most; those of a larger table meet the records in tiles.
-QUERY_BYTES = 64 << 20
-#: Scores that a task holds at once, and vectors of a tile.
-SCORES = 1 << 22
-TILE = 4096
+#: Queries that are sent to every task, in bytes at most; those of a larger table meet the records in blocks.
+QUERY_BYTES = 4 << 20
+#: Scores that a task holds at once, and bytes of a block's vectors as doubles.
+SCORES = 1 << 21
+BLOCK_BYTES = 16 << 20
+#: Scores of which only the largest is compared when a query's bound is looked for, and candidates scored exactly at once.
+GROUP = 64
+CANDIDATES = 1 << 16
 
 
 def check_dimension(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
@@ -81,22 +85,27 @@ def quantized_search(
 def batch_search(
     records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "dense",
     query_id_col: str = "query_id", query_col: str = "query", where: Column | None = None, exclude_self: bool = False,
+    match: tuple[str, str] | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k best records for each row of queries; rank counts from 1.
 
     where may use columns of both sides, so each query can have its own filter; the sides are then joined, and Catalyst
-    picks how. Without it, a metric that is a product is computed by matrix products of bounded size, of which only k
-    results a query and batch of records leave the task: queries go to every task once where they are few, by a count
-    of their bytes, and meet the records tile by tile otherwise.
+    picks how. match names a column of the records and one of the queries that have to be equal; null equals nothing.
+    Without where, a metric that is a product is computed by matrix products of bounded size, of which only k results a
+    query and batch of records leave the task: queries go to every task once where they are few, by a count of their
+    bytes, and meet the records of their match block by block otherwise.
     """
     m = METRICS.get(metric)
     if m is None:
         raise SearchError(f"no metric {metric}")
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_col).alias("query"), *[c for c in queries.columns if c not in (query_id_col, query_col)])
     if metric in ("cosine", "dotproduct") and where is None:
-        size = q.agg(F.sum(F.size("query") * 8)).first()[0] or 0
-        way = _scored_by_batches if size <= QUERY_BYTES else _scored_by_tiles
-        return _ranked(way(records, q, k, metric, id_col, vector_col, exclude_self), m, k)
+        few = match is None and (q.agg(F.sum(F.size("query") * 8)).first()[0] or 0) <= QUERY_BYTES
+        hits = _scored_by_batches(records, q, k, metric, id_col, vector_col, exclude_self) if few else _scored_by_blocks(records, q, k, metric, id_col, vector_col, exclude_self, match)
+        return _ranked(hits, m, k)
+    if match is not None:
+        equal = records[match[0]] == q[match[1]]
+        where = equal if where is None else equal & where
     pairs = records.crossJoin(q) if where is None else records.join(q, where)
     if exclude_self:
         pairs = pairs.where(F.col("query_id") != F.col(id_col))
@@ -119,22 +128,45 @@ def _matrix(lists: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndarra
 
 
 def _best(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, metric: str, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best records of each query and all that tie with the last, some queries at a time."""
-    if not len(x):
+    """The k best records of each query, ties to the smallest id, some queries at a time.
+
+    Products in single precision leave out what can't be among the k best, by a bound on their error and what rounding
+    can move; the others are scored in double.
+    """
+    wide, long = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    least = np.nextafter(0, 1) if metric == "cosine" else 0
+    asked, has = np.flatnonzero((wide >= least) & np.isfinite(wide)), np.flatnonzero((long >= least) & np.isfinite(long))
+    if not len(asked) or not len(has):
         return
-    long = np.linalg.norm(x, axis=1)
-    step = max(1, SCORES // len(x))
+    has = has[np.asarray(pc.sort_indices(ids.take(pa.array(has)), null_placement="at_start"))]
+    ids, x, long, q, wide = ids.take(pa.array(has)), x[has], long[has], q[asked], wide[asked]
+    # lengths of at most 1, in which errors are those of single precision
+    scale = long if metric == "cosine" else np.full(len(x), long.max() or 1.0)
+    unit = np.where(wide > 0, wide, 1.0)
+    xs = np.ascontiguousarray((x / scale[:, None]).astype(np.float32).T)
+    qs = (q / unit[:, None]).astype(np.float32)
+    moved = 10.0**-DIGITS if metric == "cosine" else 10.0**-DIGITS / (unit * scale[0])
+    slack = np.broadcast_to(2 * (x.shape[1] + 8) * 2.0**-24 + 1.1 * moved, len(q))
+    step, n = max(1, SCORES // len(x)), len(x) // GROUP * GROUP
+    room = np.empty((min(step, len(q)), len(x)), np.float32)
     for lo in range(0, len(q), step):
-        part = q[lo : lo + step]
-        s = part @ x.T
+        s = np.matmul(qs[lo : lo + step], xs, out=room[: len(qs) - lo])
+        if len(x) > k:
+            of = s[:, :n].reshape(len(s), GROUP, -1).max(1) if n >= 2 * k * GROUP else s
+            bound = np.partition(of, of.shape[1] - k, axis=1)[:, of.shape[1] - k] - slack[lo : lo + step]
+            row, col = np.divmod(np.flatnonzero(s >= bound.astype(np.float32)[:, None] - np.float32(1e-7)), len(x))
+        else:
+            row, col = np.divmod(np.arange(s.size), len(x))
+        parts = [np.einsum("ij,ij->i", q[row[at : at + CANDIDATES] + lo], x[col[at : at + CANDIDATES]]) for at in range(0, len(row), CANDIDATES)]
+        score = np.concatenate(parts)
         if metric == "cosine":
-            both = np.linalg.norm(part, axis=1)[:, None] * long[None, :]
-            s = np.where(both > 0, s / np.where(both > 0, both, 1), np.nan)
-        s = np.where(np.isnan(s), -np.inf, np.round(s, DIGITS) + 0.0)
-        more = min(len(x), k)
-        cut = np.partition(s, len(x) - more, axis=1)[:, len(x) - more]
-        row, col = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(row + lo)), ids.take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "id", "score"])
+            score = score / (wide[row + lo] * long[col])
+        score = np.round(score, DIGITS) + 0.0
+        row, col, score = (v[np.isfinite(score)] for v in (row, col, score))
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[row[kept] + lo])), ids.take(pa.array(col[kept])), pa.array(score[kept])], names=["query_id", "id", "score"])
 
 
 def _scored_by_batches(records: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str, exclude_self: bool) -> DataFrame:
@@ -159,35 +191,31 @@ def _scored_by_batches(records: DataFrame, queries: DataFrame, k: int, metric: s
     return hits.where("query_id <> id") if exclude_self else hits
 
 
-def _tiles(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(keys, data, dim): TILE vectors of one length in a row, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.diff(batch.column(1).offsets.to_numpy())
-            for dim in np.unique(size[~np.asarray(batch.column(1).is_null())]).tolist():
-                right, x = _matrix(batch.column(1), dim)
-                for lo in range(0, len(right), TILE):
-                    own = batch.column(0).take(pa.array(right[lo : lo + TILE]))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([x[lo : lo + TILE].tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["keys", "data", "dim"])
-
-    some = table.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    return some.mapInArrow(run, f"keys array<{table.schema[key].dataType.simpleString()}>, data binary, dim int")
+def _scored_by_blocks(records: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str, exclude_self: bool, match: tuple[str, str] | None) -> DataFrame:
+    """Queries and records of one length and match are dealt to blocks of bounded size, and each two blocks meet in a task.
 
-
-def _scored_by_tiles(records: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str, exclude_self: bool) -> DataFrame:
+    Each side is sent as often as the other has blocks, and a query has k results a block of records: both grow as the
+    pairs do, but divided by the rows of a block.
+    """
     kind, id_kind = queries.schema["query_id"].dataType.simpleString(), records.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                names, ids = (batch.column(c).slice(i, 1).flatten() for c in ("q_keys", "keys"))
-                q, x = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, batch.column("dim")[i].as_py()) for c in ("q_data", "data"))
-                yield from _best(names, q, ids, x, metric, k + int(exclude_self))
-
-    left = _tiles(queries, "query_id", "query").select(F.col("keys").alias("q_keys"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
-    pairs = left.hint("shuffle_replicate_nl").crossJoin(_tiles(records, id_col, vector_col)).where("q_dim = dim")
-    hits = pairs.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
+    both = (F.lit(0), F.lit(0)) if match is None else (F.col(match[1]), F.col(match[0]))
+    left = queries.select("query_id", F.col("query").alias("vector"), F.size("query").alias("dim"), both[0].alias("part")).where("vector IS NOT NULL AND dim > 0")
+    right = records.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim"), both[1].alias("part")).where("vector IS NOT NULL AND dim > 0")
+    blocks = F.ceil(F.count("*") * F.col("dim") * 8 / F.lit(BLOCK_BYTES)).cast("int")
+    sizes = left.groupBy("dim", "part").agg(blocks.alias("lefts")).join(right.groupBy("dim", "part").agg(blocks.alias("rights")), ["dim", "part"])
+    own = lambda key, n: F.pmod(F.xxhash64(key, "vector"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, ["dim", "part"]).select("query_id", "vector", "dim", "part", own("query_id", "lefts").alias("i"), every("rights").alias("j"))
+    right = right.join(sizes, ["dim", "part"]).select("id", "vector", "dim", "part", own("id", "rights").alias("j"), every("lefts").alias("i"))
+
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        names, ids, (own_q, q), (own_x, x) = asked["query_id"].combine_chunks(), there["id"].combine_chunks(), *(_matrix(t["vector"].combine_chunks(), None) for t in (asked, there))
+        found = list(_best(names.take(pa.array(own_q)), q, ids.take(pa.array(own_x)), x, metric, k + int(exclude_self))) if len(q) and len(x) else []
+        schema = pa.schema([("query_id", names.type), ("id", ids.type), ("score", pa.float64())])
+        return pa.Table.from_batches(found, schema)
+
+    keys = ["dim", "part", "i", "j"]
+    hits = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, f"query_id {kind}, id {id_kind}, score double")
     return hits.where("query_id <> id") if exclude_self else hits
 
 

@@ -289,3 +289,51 @@ def test_stemmed_search_against_plain_loops(spark, sf):
         assert [got[q][r + 1][1] for r in range(len(best))] == pytest.approx([x for _, x in best], abs=2e-6)
         checked += len(best)
     assert checked > 50
+
+
+def test_matched_batches_are_products_of_blocks(spark, monkeypatch):
+    """Each query among the records of its own label, in blocks of a few rows, with ties and copies; not pair by pair in the JVM."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 8)), 2)
+    x[100:150] = x[:50]
+    label = [None if i % 50 == 7 else int(i % 4) for i in range(300)]
+    table = spark.createDataFrame([(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, label))] + [(900, None, 1), (901, [0.0] * 8, 1), (902, [1.0], 1), (903, [float("nan")] * 8, 1)], "id int, dense array<double>, label int")
+    asked = table.select(F.col("id").alias("query_id"), F.col("dense").alias("query"), F.col("label").alias("own"))
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 20 * 64)
+    monkeypatch.setattr(dense, "SCORES", 100)
+    for metric, exclude in (("cosine", False), ("dotproduct", True)):
+        found = dense.batch_search(table, asked, 5, metric, match=("label", "own"), exclude_self=exclude)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "zip_with" not in plan
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        for i in range(300):
+            among = [j for j in range(300) if label[i] is not None and label[j] == label[i] and not (exclude and j == i)]
+            s = np.round(x[among] @ x[i] / (np.linalg.norm(x[among], axis=1) * np.linalg.norm(x[i]) if metric == "cosine" else 1), 6) + 0.0
+            want = sorted(zip(among, s.tolist()), key=lambda e: (-e[1], e[0]))
+            if metric == "dotproduct" and label[i] == 1:
+                want = sorted([*want, (901, 0.0)], key=lambda e: (-e[1], e[0]))
+            assert [(n, j) for n, j, _ in sorted(got.get(i, []))] == [(n + 1, j) for n, (j, _) in enumerate(want[:5])]
+        assert 903 not in got and 900 not in got
+
+
+def test_single_precision_leaves_nothing_out():
+    """The kernel against plain doubles, where scores are close, large, tied or few."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    for x in (base + rng.normal(size=(3000, 16)) * 1e-6, rng.normal(size=(3000, 16)) * 1e12, np.round(rng.normal(size=(3000, 16))), rng.normal(size=(7, 16)), np.zeros((40, 16))):
+        q = np.concatenate([x[:20], rng.normal(size=(5, 16)), np.zeros((1, 16))])
+        for metric in ("cosine", "dotproduct"):
+            got = {}
+            for b in dense._best(pa.array(range(len(q))), q, pa.array(range(len(x))), x, metric, 10):
+                for r in b.to_pylist():
+                    got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+            for i, v in enumerate(q):
+                with np.errstate(all="ignore"):
+                    s = np.einsum("j,ij->i", v, x) / (np.linalg.norm(x, axis=1) * np.linalg.norm(v) if metric == "cosine" else 1)
+                s = np.round(s, 6) + 0.0
+                want = sorted(((j, e) for j, e in enumerate(s.tolist()) if np.isfinite(e)), key=lambda e: (-e[1], e[0]))[:10]
+                assert [e for _, e in got.get(i, [])] == pytest.approx([e for _, e in want], abs=2e-6, rel=1e-12)
