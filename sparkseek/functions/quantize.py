@@ -54,15 +54,29 @@ def subbyte_codes(vector: Column, bits: int, clamp_top: bool = True) -> Column:
 
 
 def bit_planes(codes: Column, bits: int) -> Column:
-    """Codes as `bits` arrays of bytes, the highest bit first; the first code is the highest bit of its byte."""
+    """Codes as `bits` arrays of bytes, the highest bit first; the first code is the highest bit of its byte.
 
-    def plane(bit: int) -> Column:
-        n = F.ceil(F.size(codes) / F.lit(8)).cast("int")
-        lane = lambda b, i: F.shiftright(F.coalesce(F.get(codes, b * 8 + i), F.lit(0)), bit).bitwiseAND(F.lit(1)) * F.lit(1 << (7 - i))
-        byte = lambda b: sum((lane(b, i) for i in range(1, 8)), lane(b, 0))
-        return F.transform(F.sequence(F.lit(0), n - 1), byte)
+    A null code counts as 0, null codes have null planes. A whole Arrow batch is packed at once.
+    """
 
-    return F.array(*[plane(bits - 1 - i) for i in range(bits)])
+    def run(v: pa.Array) -> pa.Array:
+        size = np.asarray(pc.list_value_length(v).fill_null(0)).astype(np.int64)
+        flat = v.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        wide = -(-size // 8)  # bytes of a plane
+        ends, begins = np.cumsum(wide), np.cumsum(size) - size
+        room = np.zeros(int(ends[-1]) * 8 if len(ends) else 0, flat.dtype)
+        room[np.arange(len(flat)) + np.repeat((ends - wide) * 8 - begins, size)] = flat
+        planes = [np.packbits((room >> (bits - 1 - i) & 1).astype(np.uint8)) for i in range(bits)]
+        # of each row one plane after the other
+        at = np.repeat(np.cumsum(bits * wide) - bits * wide, wide) + np.arange(len(room) // 8) - np.repeat(ends - wide, wide)
+        out = np.zeros(bits * len(room) // 8, np.int32)
+        for i, plane in enumerate(planes):
+            out[at + i * np.repeat(wide, wide)] = plane
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.repeat(wide, bits))).astype(np.int32)), pa.array(out))
+        outer = pa.array((np.arange(len(v) + 1) * bits).astype(np.int32))
+        return pa.ListArray.from_arrays(outer, inner, mask=v.is_null() if v.null_count else None)
+
+    return F.arrow_udf(run, "array<array<int>>")(codes.cast("array<int>"))
 
 
 def half_values(vector: Column) -> Column:

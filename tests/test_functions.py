@@ -170,3 +170,19 @@ def test_kernels_over_nulls_and_other_lengths(spark):
     import struct
 
     assert [r[0] for r in df.where("a IS NULL OR NOT exists(a, x -> x IS NULL)").select(vectors.vector_sha256(a)).collect()] == [None if x is None else hashlib.sha256(struct.pack(f"<{len(x)}f", *x)).hexdigest() for x, _ in rows if x is None or None not in x]
+
+
+def test_planes_are_packed_from_codes_that_are_computed_once(spark):
+    """Rows of several lengths, nulls and empty rows, and the codes once in the plan, not once a bit."""
+    rows = [([0.5, -0.5, 0.9],), (None,), ([],), ([None, 0.99],), ([0.1 * i - 0.8 for i in range(17)],)]
+    v = spark.createDataFrame(rows, "v array<double>").coalesce(1)
+    codes = quantize.subbyte_codes(F.col("v"), 3)
+    out = v.select(codes.alias("c"), quantize.bit_planes(codes, 3).alias("p"))
+    for r in out.collect():
+        if r["c"] is None:
+            assert r["p"] is None
+            continue
+        c = np.array([0 if x is None else x for x in r["c"]], int)
+        assert [[int(b) for b in np.packbits((c >> bit & 1).astype(np.uint8))] for bit in (2, 1, 0)] == r["p"]
+    planes = v.select(quantize.bit_planes(codes, 3).alias("p"))
+    assert planes._jdf.queryExecution().optimizedPlan().toString().count("FLOOR") <= 2, "codes were computed anew for each bit of each byte"
