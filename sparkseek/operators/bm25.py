@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..shared import shared_root
+from . import lists
+from .lists import BUCKETS
 from .sparse import DIGITS, top_per_query
 
 K1, B = 1.2, 0.75
-#: Residues of document numbers that the bucketed variant keeps one document each of.
-BUCKETS = 512
 
 
 def term_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, wanted: DataFrame | None = None) -> DataFrame:
@@ -24,9 +25,12 @@ def term_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", stem
 
 def corpus(docs: DataFrame, id_col: str = "id", text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
     """(n_docs, avgdl) of the documents with a text, by tokens that count; from their postings if these are known."""
-    some = docs.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("n_docs"))
-    total = (term_table(docs, id_col, text_col, stemming=False) if postings is None else postings).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-    return some.crossJoin(total).select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).alias("avgdl"))
+    if postings is None:
+        totals = t.lengths(docs, text_col).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    else:
+        some = docs.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("n_docs"))
+        totals = some.crossJoin(postings.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total")))
+    return totals.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, query_id_col: str = "query_id", text_col: str = "text", stemming: bool = True) -> DataFrame:
@@ -66,6 +70,26 @@ def best(found: DataFrame, k: int = 10, bucketed: bool = False) -> DataFrame:
     return top_per_query(found, k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, bucketed: bool = False, **options) -> DataFrame:
-    """(query_id, rank, id, score): the k best documents of each query, ties to the smallest id; see best()."""
-    return best(scores(docs, queries, **options), k, bucketed)
+def list_search(built: lists.Lists, queries: DataFrame, k: int = 10, bucketed: bool = False, k1: float = K1, b: float = B, avgdl: float | None = None, query_id_col: str = "query_id", query_text_col: str = "text", rows: list | None = None) -> DataFrame:
+    """(query_id, rank, id, score) over lists of documents' terms; see best(). rows are the queries' terms where they are known."""
+    asked = query_terms(queries, query_id_col, query_text_col, built.stemming)
+    rows = rows if rows is not None else lists.asked_rows(asked, "term")
+    if rows is not None:
+        return best(lists.text_best(built, asked, rows, k, k1, b, avgdl, bucketed), k, bucketed)
+    postings = built.postings(queries.sparkSession).join(asked.select("term").distinct(), "term", "left_semi")
+    mean = avgdl if avgdl is not None else built.total / built.n_docs if built.n_docs else None
+    return best(scored(postings, asked.distinct(), F.lit(built.n_docs), F.lit(mean).cast("double"), k1, b), k, bucketed)
+
+
+def search(
+    docs: DataFrame, queries: DataFrame, k: int = 10, bucketed: bool = False, k1: float = K1, b: float = B, avgdl: float | None = None, stemming: bool = True,
+    id_col: str = "id", text_col: str = "text", query_id_col: str = "query_id", query_text_col: str = "text",
+) -> DataFrame:
+    """(query_id, rank, id, score): the k best documents of each query, ties to the smallest id, without an index; see best().
+
+    The texts are read once: what they have of the terms asked goes to the shared folder, a row a document.
+    """
+    rows = lists.asked_rows(query_terms(queries, query_id_col, query_text_col, stemming), "term")
+    wanted = None if rows is None else sorted({term for _, term, *_ in rows})
+    built = lists.build(docs, shared_root(docs.sparkSession), id_col, text_col, stemming, wanted)
+    return list_search(built, queries, k, bucketed, k1, b, avgdl, query_id_col, query_text_col, rows)
